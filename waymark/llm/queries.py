@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, packing, quality_classifier, quality_rules, simhash, token_count, url_filter
+from . import chat_format, decontaminate, license_scan, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_count, url_filter
 from .common import table
 
 #: Vocabulary that op6 counts with, by its name among the public tokenizers.
@@ -44,6 +44,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_conversations(chat_format.format_turns(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_simhash, op4_licenses, op5_urls, op6_tokens, op7_quality_rules, op9_classifier, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_simhash, op4_licenses, op5_urls, op6_tokens, op7_quality_rules, op8_substring_dedup, op9_classifier, op10_chat)}
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": r"""
