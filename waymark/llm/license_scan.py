@@ -93,21 +93,22 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     def windows(ws: Column) -> Column:
         return F.concat(*[_named(starts(ws, n), n) for n in sizes])
 
-    spans = found.where("words is not null").select("row", "words", F.explode(let(F.col("words"), windows)).alias("at")) if sizes else None
-    if spans is None:
+    if not sizes:
         return base.select("doc_id", F.expr("cast(array() as array<struct<license:string,containment:double,start:int>>)").alias("matches"))
+    # every row goes on, with no window or with several: its number is made once and never again
+    spans = found.select("row", "doc_id", "words", F.explode_outer(let(F.col("words"), windows)).alias("at"))
     length = F.col("at.size") + F.greatest(F.lit(1), F.floor(F.col("at.size") / 8).cast("int"))
-    spans = spans.select("row", F.col("at.size").alias("size"), F.col("at.start").alias("start"), let(F.slice("words", F.col("at.start") + 1, length), _shingles).alias("shingles"))
-    banded = spans.select("row", "size", "start", "shingles", F.posexplode(_signature(F.col("shingles"), bands)).alias("band", "value"))
+    shingled = F.when(F.col("at").isNotNull(), let(F.slice("words", F.col("at.start") + 1, length), _shingles))
+    spans = spans.select("row", "doc_id", F.col("at.size").alias("size"), F.col("at.start").alias("start"), shingled.alias("shingles"))
+    banded = spans.select("row", "doc_id", "size", "start", "shingles", F.posexplode_outer(F.when(F.col("shingles").isNotNull(), _signature(F.col("shingles"), bands))).alias("band", "value"))
     template = spark.createDataFrame(known, "license string, size int, template array<string>")
     buckets = template.select("license", "size", "template", F.posexplode(_signature(F.col("template"), bands)).alias("band", "value"))
     if sum(len(x) for _, _, xs in known for x in xs) <= BROADCAST_CHARS:  # else Spark chooses the join
         buckets = F.broadcast(buckets)
     share = F.size(F.array_intersect("shingles", "template")) / F.size("template")
-    met = banded.join(buckets, ["size", "band", "value"]).select("row", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
-    best = met.groupBy("row", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("start"))
-    lists = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("license", "containment", "start"))).alias("matches"))
-    return base.select("row", "doc_id").join(lists, "row", "left").select("doc_id", F.coalesce("matches", F.expr("cast(array() as array<struct<license:string,containment:double,start:int>>)")).alias("matches"))
+    met = banded.join(buckets, ["size", "band", "value"], "left").select("row", "doc_id", "start", "license", F.when(F.col("license").isNotNull(), share).alias("containment"))
+    best = met.groupBy("row", "doc_id", F.when(F.col("containment") >= containment, F.col("license")).alias("license")).agg(F.max("containment").alias("containment"), F.min("start").alias("start"))
+    return best.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("license").isNotNull(), F.struct("license", "containment", "start")))).alias("matches")).select("doc_id", "matches")
 
 
 def _named(starts: Column, n: int) -> Column:
