@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from .wordbuf import BY_ALNUM_LOWER, Words, chunks, runs
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text that are broadcast at once.
-BLOCK_BYTES = 16 << 20
-_BITS = 20
+#: UTF-8 bytes of benchmark text that are broadcast at once; a worker's window set takes about 50 times as much.
+BLOCK_BYTES = 4 << 20
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 SCAN_SCHEMA = "doc_id long, text_key string, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
 
@@ -37,38 +36,42 @@ class WindowSet:
     """The windows of one block: by length a table of hash bits, and by its words the items that have a window."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.items: dict[bytes, set[str]] = defaultdict(set)
+        self.items: dict[bytes, tuple[str, ...]] = {}
         hashes = defaultdict(list)
         words = Words([t for _, t in items], BY_ALNUM_LOWER)
         all_hashes = words.hashes()
         for k, (item, _) in enumerate(items):
             lo, count = int(words.first[k]), int(words.counts[k])
             if count:
-                size = min(n, count)
+                size, own = min(n, count), (item,)  # one tuple for all windows that only this item has
                 for i in range(lo, lo + count - size + 1):
-                    self.items[words.joined(i, size)].add(item)
+                    known = self.items.setdefault(words.joined(i, size), own)
+                    if item not in known:
+                        self.items[words.joined(i, size)] = (*known, item)
                 hashes[size].append(runs(all_hashes[lo : lo + count], size))
-        self.bits = {}
+        self.tables = {}
         for size, found in hashes.items():
-            table = np.zeros(1 << _BITS, bool)
-            table[np.concatenate(found) >> np.uint64(64 - _BITS)] = True
-            self.bits[size] = table
+            every = np.concatenate(found)
+            shift = np.uint64(64 - max(20, (16 * len(every)).bit_length()))  # at most one place in 16 is set
+            table = np.zeros(1 << (64 - int(shift)), bool)
+            table[every >> shift] = True
+            self.tables[size] = table, shift
 
     def hits(self, words: Words) -> dict[int, tuple[list[list[int]], set[str]]]:
         """By text: united spans of hit words, and the items."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         items: dict[int, set[str]] = defaultdict(set)
         hashes = words.hashes()
-        for size, table in self.bits.items():
+        for size, (table, shift) in self.tables.items():
             if len(words) < size:
                 continue
-            at = np.flatnonzero(table[runs(hashes, size) >> np.uint64(64 - _BITS)])
+            at = np.flatnonzero(table[runs(hashes, size) >> shift])
             at = at[words.doc[at] == words.doc[at + size - 1]]
             for i in at.tolist():
                 if known := self.items.get(words.joined(i, size)):
                     doc = int(words.doc[i])
                     found[doc].append((i - int(words.first[doc]), i - int(words.first[doc]) + size))
-                    items[doc] |= known
+                    items[doc].update(known)
         return {doc: (unite(spans), items[doc]) for doc, spans in found.items()}
 
 
@@ -84,6 +87,7 @@ def unite(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 def _scan(docs: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(items)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = WindowSet(block.value, n)
         for part, texts in chunks(batches):
