@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 from waymark.operators import ops
-from waymark.plans.place_queries import ORACLES, QUERIES
+from waymark.plans import place_queries, venue_queries  # noqa: F401
+from waymark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events pages conversations".split()

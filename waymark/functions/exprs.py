@@ -15,7 +15,7 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # least() would make a null 1
 
 
 def flat_metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

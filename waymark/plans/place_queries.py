@@ -2,45 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import ops as O
 from . import views as V
+from .registry import ORACLES, QUERIES, query as _query, table as _table, view as _view, with_views as _with  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-_TABLES = {V.FIX: "events", V.REPORT: "events", V.CONTRIBUTION: "events", V.PLACE: "part", V.PERSON: "customer", V.CLAIM: "lineitem"}
 _NOW = 1706400000000  # 2024-01-28, in ms
 
 
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _view(spark: SparkSession, sf: str, view: str) -> DataFrame:
-    name = _TABLES[view]
-    text = view.format(ms="unix_millis(cast(ts as timestamp))").replace(f"FROM {name}", "FROM {source}")
-    return spark.sql(text, source=_table(spark, sf, name))
-
-
-def _with(**named: str) -> str:
-    return "WITH " + ", ".join(f"{k} AS ({v.format(ms='epoch_us(ts) // 1000')})" for k, v in named.items()) + " "
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 @_query(_with(f=V.FIX) + """, g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY device ORDER BY seq) AS dt FROM f),
 s AS (SELECT *, sum(CASE WHEN dt IS NULL OR dt < 0 OR dt >= 43200000 THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT CAST(floor(lat * 110540 / 200) AS BIGINT) AS cell_lat, CAST(floor(lng * 111320 / 200) AS BIGINT) AS cell_lng, count(*) AS n_fixes, count(DISTINCT (device, session)) AS n_sessions, min(seq) AS sample_seq FROM s GROUP BY 1, 2""")
@@ -128,7 +99,7 @@ def dwell_islands(spark, sf):
 
 
 @_query(_with(f=V.FIX) + """, p AS (SELECT *, lag(lat) OVER w AS b_lat, lag(lng) OVER w AS b_lng FROM f WINDOW w AS (PARTITION BY device ORDER BY seq))
-SELECT device, floor(coalesce(sum(2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(lat - b_lat) / 2), 2) + cos(radians(b_lat)) * cos(radians(lat)) * pow(sin(radians(lng - b_lng) / 2), 2))))), 0) * 100 + 0.5) / 100 AS metres, count(*) AS n_fixes FROM p GROUP BY device""")
+SELECT device, floor(coalesce(sum(2 * 6371000 * asin(sqrt(pow(sin(radians(lat - b_lat) / 2), 2) + cos(radians(b_lat)) * cos(radians(lat)) * pow(sin(radians(lng - b_lng) / 2), 2)))), 0) * 100 + 0.5) / 100 AS metres, count(*) AS n_fixes FROM p GROUP BY device""")
 def walk_lengths(spark, sf):
     return O.walk_lengths(_view(spark, sf, V.FIX), "device", "seq")
 
