@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LAT_METRES, LNG_METRES, cell, flat_metres, half_up, haversine, similarity
+from .folds import fold, thin
 
 EPHEMERAL = ["experience", "status", "queue_band", "ride_status"]
 
@@ -128,21 +129,5 @@ def dominant(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def thinned(fixes: DataFrame, key: str, seq: str, metres: float) -> DataFrame:
-    """Fixes at least `metres` from the last one kept; the fold needs each key's rows in order."""
-    import numpy as np
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq)
-        lat, lng = np.radians(rows["lat"].to_numpy()), np.radians(rows["lng"].to_numpy())
-        kept, at = [], -1
-        for i in range(len(rows)):
-            if at >= 0:
-                a = np.sin((lat[i] - lat[at]) / 2) ** 2 + np.cos(lat[at]) * np.cos(lat[i]) * np.sin((lng[i] - lng[at]) / 2) ** 2
-                if 2 * 6371000.0 * np.arcsin(min(1.0, np.sqrt(a))) < metres:
-                    continue
-            kept.append(i)
-            at = i
-        return rows.iloc[kept]
-
-    return fixes.groupBy(key).applyInPandas(run, fixes.schema)
+    """Fixes at least `metres` from the last one kept, in order of seq within a key."""
+    return fold(fixes, [key], [seq], thin(metres), "_kept", "boolean").drop("_kept")

@@ -11,7 +11,7 @@ from . import views as V
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_TABLES = {V.FIX: "events", V.REPORT: "events", V.CONTRIBUTION: "events", V.WEATHER: "events", V.PLACE: "part", V.PERSON: "customer", V.CLAIM: "lineitem", V.AREA: "nation"}
+_TABLES = {V.FIX: "events", V.REPORT: "events", V.CONTRIBUTION: "events", V.WEATHER: "events", V.EDGE: "events", V.PLACE: "part", V.GRID: "part", V.PERSON: "customer", V.CLAIM: "lineitem", V.AREA: "nation"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Makes this package importable in Spark's Python workers."""
+"""Makes this package importable in Spark's Python workers, and names the folder that all of them share."""
 
 from __future__ import annotations
 
@@ -22,3 +22,13 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
     context.addPyFile(str(path))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset and Spark is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='waymark-')}"
