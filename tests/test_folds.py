@@ -46,12 +46,24 @@ def test_stream_equals_table(spark, tmp_path, name):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = stateful.fold_stream(stream, ["device"], ["seq"], step, "said", kind)
     run = out.writeStream.format("memory").queryName(f"said_{name}").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run.awaitTermination(60)
     got = spark.table(f"said_{name}")
     rows_of = lambda df: sorted(map(repr, map(tuple, df.select("device", "seq", "said").collect())))
     assert rows_of(got) == rows_of(want) and want.count() > 3
 
 
+def test_silent_keys_start_anew(spark, tmp_path):
+    batches = [[(1, 0, 100)], [(2, 1, 7200)], [(2, 2, 7300)], [(1, 3, 7400)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "device long, ms long, s long").selectExpr("device", "ms", "timestamp_seconds(s) at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("device long, ms long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = stateful.fold_stream(stream, ["device"], ["ms"], folds.session_number(1000), "said", "long", time="at", late="1 second", ttl_ms=60_000)
+    numbered = out.writeStream.format("memory").queryName("anew").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    numbered.awaitTermination(100)
+    assert sorted((r.device, r.ms, r.said) for r in spark.table("anew").collect()) == [(1, 0, 1), (1, 3, 1), (2, 1, 1), (2, 2, 1)]
+    assert numbered.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
 def test_folds_of_odd_rows(spark):
     odd = [(None, 1, 5, None, None, None, 0.0, None, 1), (None, 1, 5, None, None, None, 0.0, None, 1), (1, 2, 5, 39.0, float("nan"), "a", 0.0, 3.0, 2)]
     df = spark.createDataFrame(odd, SCHEMA)

@@ -170,8 +170,8 @@ def applied(step: Step, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple
 
 
 def with_verdict(rows: pd.DataFrame, verdicts: list[Any], name: str) -> pd.DataFrame:
-    told = [v is not None for v in verdicts]
-    return rows[told].assign(**{name: [v for v in verdicts if v is not None]})
+    out = rows[[v is not None for v in verdicts]].assign(**{name: [v for v in verdicts if v is not None]})
+    return out.astype({c: object for c in out.columns if isinstance(out[c].dtype, pd.StringDtype)})  # text in chunks can't be handed to Arrow
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, name: str, kind: str) -> DataFrame:
@@ -185,7 +185,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, name: str
                 if key != now:
                     now, state = key, None
                 state, verdicts = applied(step, state, rows)
-                yield with_verdict(rows, verdicts, name)
+                if (told := with_verdict(rows, verdicts, name)).size:
+                    yield told
 
     schema = ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, (name, kind)])
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -1,8 +1,9 @@
 """The steps of `waymark.operators.folds` over streams, and windows with watermarks.
 
-Rows of a key are taken in order of `order` within each micro-batch; the state of a key is kept between
-batches and dropped when the key has been silent for `ttl` (processing time), so state doesn't grow with the
-number of keys ever seen.
+Rows of a key are taken in order of `order` within each micro-batch, and a key's state is kept between
+batches.  With an event-time column the state of a key goes when the watermark is `ttl_ms` past its last row,
+so state doesn't grow with the number of keys ever seen; rows later than the watermark are dropped.  Without
+one, states stay.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from ..operators.folds import Step, applied, with_verdict
 TTL_MS = 45 * 60 * 1000
 
 
-def fold_stream(stream: DataFrame, keys: list[str], order: list[str], step: Step, name: str, kind: str, ttl_ms: int = TTL_MS) -> DataFrame:
-    """Like `fold`, over a stream."""
+def fold_stream(stream: DataFrame, keys: list[str], order: list[str], step: Step, name: str, kind: str, time: str | None = None, late: str = "1 hour", ttl_ms: int = TTL_MS) -> DataFrame:
+    """Like `fold`, over a stream; time names the column of event times."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -30,11 +31,15 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], step: Step
         rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")  # one key's rows of one micro-batch
         now, verdicts = applied(step, pickle.loads(state.get[0]) if state.exists else None, rows)
         state.update((pickle.dumps(now),))
-        state.setTimeoutDuration(ttl_ms)
+        if time:
+            last = int(rows[time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
         yield with_verdict(rows, verdicts, name)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in [*stream.dtypes, (name, kind)])
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    watched = stream.withWatermark(time, late) if time else stream
+    return watched.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", timeout)
 
 
 def session_windows(stream: DataFrame, key: str, time: str, gap: str = "15 minutes", late: str = "1 hour") -> DataFrame:
