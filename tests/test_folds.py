@@ -127,3 +127,15 @@ def test_patches_and_address_book(spark):
     book = spark.createDataFrame([(1, "Falls", None), (2, "Falls", "x"), (3, "X", None)], "key long, name string, alias string")
     got = matching.address_book(spark.createDataFrame([("falls",), ("x",), ("2",), ("none",)], "term string"), book)
     assert sorted(map(tuple, got.collect())) == [("2", 2), ("falls", 1), ("falls", 2), ("x", 3)]
+
+
+def test_windows_with_watermarks(spark, tmp_path):
+    rows = [(1, "a", 100), (1, "a", 160), (1, "b", 5000), (2, "a", 130), (2, "z", 90_000)]
+    spark.createDataFrame(rows, "device long, id string, s long").selectExpr("device", "id", "timestamp_seconds(s) at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("device long, id string, at timestamp").parquet(str(tmp_path / "in"))
+    made = {"sessions": stateful.session_windows(source(), "device", "at"), "counts": stateful.window_counts(source(), ["device"], "at", "1 hour"), "once": stateful.distinct_stream(source(), ["device", "id"], "at")}
+    for name, df in made.items():
+        df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted((r.device, r.n) for r in spark.table("sessions").collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert sorted((r.device, r.n) for r in spark.table("counts").collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert spark.table("once").count() == 4

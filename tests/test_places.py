@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from waymark.operators import ops
-from waymark.plans import network_queries, place_queries, venue_queries  # noqa: F401
+from waymark.plans import network_queries, place_queries, stream_queries, venue_queries  # noqa: F401
 from waymark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
