@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import LAT_METRES, LNG_METRES, cell, flat_metres
 
-#: Degrees of latitude and longitude of the cells that points and areas meet in.
+#: Sides of the cells that points and areas meet in.
 CELL_METRES = 120.0
 
 
@@ -83,13 +83,28 @@ def nearest_line(points: DataFrame, parts: DataFrame, key: str, metres: float) -
     return far.groupBy(key).agg(F.min(F.struct("metres", "way", "part")).alias("n")).select(key, "n.way", "n.part", "n.metres")
 
 
+def nearest(points: DataFrame, places: DataFrame, key: str, metres: float) -> DataFrame:
+    """key, place and metres of the nearest place less than `metres` away, to 0.1 mm; of equals the least place.
+
+    Positions are searched once: places at one position give way to the least of them, and points at one
+    position share its answer, so neither crowded places nor repeated fixes multiply pairs.
+    """
+    from .ops import within
+
+    spots = places.groupBy("r_lat", "r_lng").agg(F.min("place").alias("place"))
+    pairs = within(points.select("lat", "lng").distinct(), spots, metres)
+    best = pairs.groupBy("lat", "lng").agg(F.min(F.struct(F.round("metres", 4).alias("metres"), "place")).alias("b"))
+    return points.join(best, ["lat", "lng"]).select(key, "b.place", "b.metres")
+
+
 def nearest_k(points: DataFrame, places: DataFrame, key: str, metres: float, k: int) -> DataFrame:
-    """The k nearest places (place, r_lat, r_lng) of each point within `metres`, numbered from 1."""
+    """The k nearest places (place, r_lat, r_lng) of each point within `metres`, numbered from 1; points at one position share them."""
     from .ops import W, within
 
-    rank = F.row_number().over(W.partitionBy(key).orderBy("metres", "place"))
-    near = within(points, places, metres).withColumn("metres", F.round("metres", 4))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    rank = F.row_number().over(W.partitionBy("lat", "lng").orderBy("metres", "place"))
+    near = within(points.select("lat", "lng").distinct(), places, metres).withColumn("metres", F.round("metres", 4))
+    ranked = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return points.join(ranked, ["lat", "lng"]).select(key, "place", "metres", "rank")
 
 
 def overlapping(boxes: DataFrame, others: DataFrame, size: float) -> DataFrame:
@@ -104,4 +119,4 @@ def overlapping(boxes: DataFrame, others: DataFrame, size: float) -> DataFrame:
     return laid(boxes, "").join(laid(others, "o_"), ["_x", "_y"]).where(first & meets).drop("_x", "_y")
 
 
-__all__ = ["containing", "flat_metres", "in_ring", "nearest_k", "nearest_line", "overlapping", "ring_area", "ring_bounds", "segments", "smallest_area", "to_segment"]
+__all__ = ["containing", "flat_metres", "in_ring", "nearest", "nearest_k", "nearest_line", "overlapping", "ring_area", "ring_bounds", "segments", "smallest_area", "to_segment"]

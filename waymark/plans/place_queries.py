@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import ops as O
+from ..operators import spatial as S
 from . import views as V
 from .registry import ORACLES, QUERIES, query as _query, table as _table, view as _view, with_views as _with  # noqa: F401
 
@@ -69,9 +70,8 @@ _NEAR = "sqrt(pow((r_lat - lat) * 110540, 2) + pow((r_lng - lng) * 111320 * cos(
 @_query(_with(f=V.FIX, q=V.PLACE) + f"SELECT seq, place, floor(round({_NEAR}, 4) * 100 + 0.5) / 100 AS metres FROM f JOIN q ON {_NEAR} < 75 WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY seq ORDER BY round({_NEAR}, 4), place) = 1")
 def nearest_place(spark, sf):
     fixes = _view(spark, sf, V.FIX).where("event_type = 'purchase'").select("seq", "lat", "lng")
-    pairs = O.within(fixes, _view(spark, sf, V.PLACE).select("place", "r_lat", "r_lng"), 75.0)
-    best = pairs.groupBy("seq").agg(F.min(F.struct(F.round("metres", 4).alias("metres"), "place")).alias("b"))
-    return best.select("seq", "b.place", X.half_up(F.col("b.metres"), 2).alias("metres"))
+    places = _view(spark, sf, V.PLACE).select("place", "r_lat", "r_lng")
+    return S.nearest(fixes, places, "seq", 75.0).select("seq", "place", X.half_up(F.col("metres"), 2).alias("metres"))
 
 
 @_query(_with(f=V.FIX, q=V.PLACE) + f"SELECT place, count(*) AS n_near, count(DISTINCT device) AS n_devices FROM f JOIN q ON {_NEAR} < 50 WHERE event_type = 'signup' GROUP BY place")
