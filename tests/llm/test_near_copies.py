@@ -1,0 +1,57 @@
+"""The pipeline's near-duplicate stage against brute force on every pair."""
+
+import random
+
+import corpus_pipeline
+from waymark.llm import near_copies
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def grouped(texts):
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if label[a] != label[b] and (sets[a] == sets[b] or both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)):
+                label = [label[b] if x == label[a] else x for x in label]
+    return label
+
+
+def edited(seed=5):
+    """Texts and copies with some words changed, so that similarities lie on both sides of 0.8; a passage that all share."""
+    rng = random.Random(seed)
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = []
+    for _ in range(40):
+        w = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([3, 6, 30, 120, 400]))]
+        texts.append(" ".join(w) + rng.choice(["", " " + shared]))
+        for _ in range(4):
+            c = texts[-1].split()
+            for _ in range(rng.randint(0, 1 + len(c) // 25)):
+                c[rng.randrange(len(c))] = f"n{rng.randint(0, 9999)}"
+            texts.append(" ".join(c))
+    return texts
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    texts = edited()
+    label = grouped(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == {min(i for i in range(len(texts)) if label[i] == x) for x in set(label)}
+    assert len(set(label)) < len(texts) - 60  # many copies lie within the bound
+
+
+def test_pairs_below_the_bound_stay(spark):
+    words = [f"a{i}" for i in range(49)]  # 45 shingles; a change in the middle takes five of each
+    one, two = words[:], words[:]
+    one[20] = "x"
+    two[10] = two[30] = "y"
+    rows = [(1, " ".join(words)), (2, " ".join(one)), (3, " ".join(two))]
+    assert [len(shingles(rows[0][1]) & shingles(t)) for _, t in rows] == [45, 40, 35]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.deduplicate(df).collect()) == [1, 3]

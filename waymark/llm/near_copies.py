@@ -1,0 +1,145 @@
+"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered join, verified pair by pair.
+
+A text is the set of its five-word shingles (64-bit hashes).  All sets are read in one order; two sets of
+similarity 4/5 or more share a shingle among their first n // 5 + 1, so texts meet by these and none is left
+out.  Which order is taken doesn't matter for that: shingles that a sample finds often come last, so hot ones
+are met only by texts made of little else.  Pairs that meet are bounded by their sizes and places, then
+verified on the complete sets, and the links become groups (components.py).  Texts of one set are folded
+first, so copies never make pairs.  A set is named by 64 bits of its digest.
+
+Defined results: null and empty texts have the empty set and are copies of each other; texts of fewer words
+than a shingle are one shingle; a row is known by doc_id and a digest of its text, so rows that share an id
+or have none are judged by their own texts; exactly one row of a group stays, that of the least doc_id (null
+last); an empty table gives an empty result; texts are read whole.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import components
+from .wordbuf import BY_SPACE_LOWER, Words, chunks, runs
+
+SIZE = 5
+#: Shingles named as common at most, and how often the sample must hold them.
+MAX_COMMON, OFTEN = 300_000, 3
+
+
+def sets_of(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
+    """The distinct shingle hashes of every text, sorted."""
+    words = Words(texts, BY_SPACE_LOWER)
+    hashes = words.hashes()
+    windows = runs(hashes, size) if len(hashes) >= size else hashes[:0]
+    out = []
+    for lo, n in zip(words.first.tolist(), words.counts.tolist(), strict=False):
+        out.append(np.unique(windows[lo : lo + n - size + 1]) if n >= size else runs(hashes[lo : lo + n], n) if n else hashes[:0])
+    return out
+
+
+def _text(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _names(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], pa.int64())
+
+
+def common_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
+    """Shingles that a sample of the distinct texts holds often, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets_of(texts, size)).view(np.int64))], ["h"])
+
+    step = min(max(docs.count() // 5000, 1), 100)
+    sample = _text(docs).select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).dropDuplicates()
+    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    found = counts.orderBy(F.desc("count"), "h").limit(MAX_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
+    return found.view(np.uint64)[::-1].copy()
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 shingles: those that aren't common by their hash, then the common ones by rank."""
+    n = len(hashes) // 5 + 1
+    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+    known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+    rare = hashes[~known]
+    if len(rare) >= n:
+        return rare[:n]
+    return np.concatenate((rare, hashes[known][np.argsort(rank[at[known]])]))[:n]
+
+
+def described(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, text_key, v (the name of the shingle set), n (its size) and prefix for every row."""
+    ranked = common_shingles(docs, size)
+    order = np.argsort(ranked)
+    common = docs.sparkSession.sparkContext.broadcast((ranked[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            sets = sets_of(texts, size)
+            keys = pa.array([hashlib.md5(t).hexdigest() for t in texts])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, _names(sets), pa.array([len(s) for s in sets], pa.int64()), _lists([_prefix(s, *common.value) for s in sets])], ["doc_id", "text_key", "v", "n", "prefix"])
+
+    return _text(docs).mapInArrow(run, "doc_id long, text_key string, v long, n long, prefix array<long>")
+
+
+def _keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with keys (_id, _key and more) on doc_id and text."""
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), how)
+
+
+def links(docs: DataFrame, rows: DataFrame, size: int = SIZE) -> DataFrame:
+    """Pairs (a, b) of set names whose sets have Jaccard similarity 4/5 or more; rows is described(docs)."""
+    index = rows.where("n > 0").select("v", "n", "prefix").dropDuplicates(["v"]).select("v", "n", F.posexplode("prefix").alias("i", "h"))
+    a, b = (index.select("h", *[F.col(c).alias(p + c) for c in ("v", "n", "i")]) for p in "ab")
+    # 9 |A and B| >= 4 (|A| + |B|) is Jaccard >= 4/5; from the first common shingle on, no more can be common than either set has left
+    room = 9 * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= 4 * (F.col("an") + F.col("bn"))
+    met = materialize(a.join(b, "h").where((F.col("av") < F.col("bv")) & room).select("av", "bv").distinct())
+    asked = met.select(F.col("av").alias("v")).union(met.select("bv")).distinct()
+    one = rows.join(asked, "v", "left_semi").groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            sets = sets_of(texts, size)
+            yield pa.RecordBatch.from_arrays([_names(sets), _lists(sets)], ["v", "hs"])
+
+    sets = materialize(_text(_keyed(docs, one, "left_semi")).mapInArrow(run, "v long, hs array<long>").dropDuplicates(["v"]))
+    first, second = (sets.select(F.col("v").alias(p + "v"), F.col("hs").alias(p + "hs")) for p in "ab")
+    both = met.join(first, "av").join(second, "bv")
+    return both.where(9 * F.size(F.array_intersect("ahs", "bhs")) >= 4 * (F.size("ahs") + F.size("bhs"))).select(F.col("av").alias("a"), F.col("bv").alias("b"))
+
+
+def groups(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, text_key and component (equal for all rows that links join) for every row."""
+    rows = materialize(described(docs, size))
+    roots = components(links(docs, rows, size))
+    return rows.join(roots, rows["v"] == roots["id"], "left").select("doc_id", "text_key", F.coalesce("root", "v").alias("component"))
+
+
+def deduplicate(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Exactly one row of docs for each group of near copies; all columns stay."""
+    keys = materialize(groups(docs, size).groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    least = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("w"))
+    stays = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("text_key") == F.col("w.text_key"))
+    marks = keys.join(least, "component").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), stays.alias("_stays"), "n").where("n > 1 or not _stays")
+    judged = _keyed(docs, materialize(marks), "left")
+    once = judged.where("_stays is null").select(*[docs[c] for c in docs.columns])
+    repeated = judged.where("_stays").dropDuplicates(["_id", "_key"]).select(*[docs[c] for c in docs.columns])
+    return once.unionByName(repeated)
