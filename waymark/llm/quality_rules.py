@@ -64,8 +64,16 @@ def repeat_words(words: Column, size: int = 3) -> Column:
     return let(words, lambda ws: let(hashed(ws), again)).cast("long")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """The base counts of every row and its two histograms (longs)."""
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def known_language(lang: Column) -> Column:
+    return F.when(lang.cast("string").isin(*COMMON_WORDS), lang.cast("string"))
+
+
+def statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """The base counts of every row and its two histograms (longs); if keyed a digest of its text."""
     left = lambda s, pattern: F.length(F.regexp_replace(s, pattern, ""))
 
     def classes(r: Column) -> Column:
@@ -96,13 +104,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     measured = lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeat_words(ws).alias("n_repeat_words"), common(ws).alias("words"))
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id",
-        F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).alias("lang"),
+        (text_key(F.col("text")) if keyed else F.lit(None).cast("string")).alias("text_key"),
+        known_language(F.col("lang")).alias("lang"),
         let(words_of(F.col("text")), measured).alias("w"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         let(rest, classes).alias("classes"),
         F.length("text").cast("long").alias("n"),
     )
-    return counted.select("doc_id", "lang", "w.n_words", (F.col("n") - F.col("classes")[3]).alias("word_chars"), F.col("classes")[4].alias("n_symbols"), "n_dup_lines", "w.n_repeat_words", "classes", "w.words")
+    return counted.select("doc_id", "text_key", "lang", "w.n_words", (F.col("n") - F.col("classes")[3]).alias("word_chars"), F.col("classes")[4].alias("n_symbols"), "n_dup_lines", "w.n_repeat_words", "classes", "w.words")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -120,16 +129,22 @@ def distance(p: Column, q: Column) -> Column:
 
 def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """The base counts, base_failed, both distances and kept for every row."""
-    stats = materialize(statistics(docs).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
+    return _judged(docs, max_class, max_word, min_chars, min_words).drop("text_key", "lang")
+
+
+def _judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, keyed: bool = False) -> DataFrame:
+    """judge() with the language, and if keyed a digest of the text."""
+    stats = materialize(statistics(docs, keyed).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[k]) for k in range(n)]).cast("array<double>")
     reference = stats.where("lang is not null and not base_failed").groupBy("lang").agg(sums("classes", 7).alias("ref_classes"), sums("words", 9).alias("ref_words"))
     both = stats.join(reference, "lang", "left")
     both = both.withColumn("class_distance", distance(F.col("classes").cast("array<double>"), F.col("ref_classes"))).withColumn("word_distance", distance(F.col("words").cast("array<double>"), F.col("ref_words")))
     rejected = (F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class) | (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word)
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).alias("kept"), "class_distance", "word_distance")
+    return both.select("text_key", "lang", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).alias("kept"), "class_distance", "word_distance")
 
 
 def keep(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without the rejected rows (by doc_id: of rows that share one, each is judged, and one verdict to reject takes all)."""
-    out = judge(docs, **parameters).where("not kept").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_out")), "left_anti")
+    """docs without the rejected rows; a row is known by id, text and language, so its verdict is its own."""
+    out = _judged(docs, **parameters, keyed=True).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("lang").alias("_lang")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")) & known_language(docs["lang"]).eqNullSafe(F.col("_lang"))
+    return docs.join(out, same, "left_anti")
