@@ -3,8 +3,8 @@
 A text is the set of its five-word shingles (64-bit hashes).  All sets are read in one order; two sets of
 similarity 4/5 or more share a shingle among their first n // 5 + 1, so texts meet by these and none is left
 out.  Which order is taken doesn't matter for that: shingles that a sample finds often come last, so hot ones
-are met only by texts made of little else.  Pairs that meet are bounded by their sizes and places, then
-verified on the complete sets, and the links become groups (components.py).  Texts of one set are folded
+are met only by texts made of little else.  Pairs that meet are bounded by their sizes and places and by
+parity sketches (of two sketches no more bits differ than shingles do), then verified on the complete sets, and the links become groups (components.py).  Texts of one set are folded
 first, so copies never make pairs.  A set is named by 64 bits of its digest.
 
 Defined results: null and empty texts have the empty set and are copies of each other; texts of fewer words
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .quality_rules import text_key
 from .wordbuf import BY_SPACE_LOWER, Words, chunks, runs
 
 SIZE = 5
@@ -47,10 +48,6 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")
 
 
-def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
@@ -60,6 +57,12 @@ def _names(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], pa.int64())
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """512 bits: for each value of the hashes' top 9 bits, whether an odd number of shingles has it."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def common_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     """Shingles that a sample of the distinct texts holds often, rarest first."""
 
@@ -86,7 +89,7 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def described(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, text_key, v (the name of the shingle set), n (its size) and prefix for every row."""
+    """doc_id, text_key, v (the name of the shingle set), n (its size), prefix and sketch for every row."""
     ranked = common_shingles(docs, size)
     order = np.argsort(ranked)
     common = docs.sparkSession.sparkContext.broadcast((ranked[order], order))
@@ -95,9 +98,9 @@ def described(docs: DataFrame, size: int = SIZE) -> DataFrame:
         for part, texts in chunks(batches):
             sets = sets_of(texts, size)
             keys = pa.array([hashlib.md5(t).hexdigest() for t in texts])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, _names(sets), pa.array([len(s) for s in sets], pa.int64()), _lists([_prefix(s, *common.value) for s in sets])], ["doc_id", "text_key", "v", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, _names(sets), pa.array([len(s) for s in sets], pa.int64()), _lists([_prefix(s, *common.value) for s in sets]), _lists([_sketch(s) for s in sets])], ["doc_id", "text_key", "v", "n", "prefix", "sketch"])
 
-    return _text(docs).mapInArrow(run, "doc_id long, text_key string, v long, n long, prefix array<long>")
+    return _text(docs).mapInArrow(run, "doc_id long, text_key string, v long, n long, prefix array<long>, sketch array<long>")
 
 
 def _keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -107,11 +110,15 @@ def _keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame, size: int = SIZE) -> DataFrame:
     """Pairs (a, b) of set names whose sets have Jaccard similarity 4/5 or more; rows is described(docs)."""
-    index = rows.where("n > 0").select("v", "n", "prefix").dropDuplicates(["v"]).select("v", "n", F.posexplode("prefix").alias("i", "h"))
+    index = rows.where("n > 0").select("v", "n", "prefix").dropDuplicates(["v"]).select("v", "n", F.posexplode("prefix").alias("i", "h")).repartition("h")
     a, b = (index.select("h", *[F.col(c).alias(p + c) for c in ("v", "n", "i")]) for p in "ab")
     # 9 |A and B| >= 4 (|A| + |B|) is Jaccard >= 4/5; from the first common shingle on, no more can be common than either set has left
     room = 9 * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= 4 * (F.col("an") + F.col("bn"))
-    met = materialize(a.join(b, "h").where((F.col("av") < F.col("bv")) & room).select("av", "bv").distinct())
+    met = a.join(b, "h").where((F.col("av") < F.col("bv")) & room).select("av", "bv").distinct()
+    sketches = materialize(rows.where("n > 0").select("v", "n", "sketch").dropDuplicates(["v"]))
+    p, q = (sketches.select(*[F.col(c).alias(p + c) for c in ("v", "n", "sketch")]) for p in "ab")
+    differ = F.aggregate(F.zip_with("asketch", "bsketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    met = materialize(met.join(p, "av").join(q, "bv").where(9 * differ <= F.col("an") + F.col("bn")).select("av", "bv"))
     asked = met.select(F.col("av").alias("v")).union(met.select("bv")).distinct()
     one = rows.join(asked, "v", "left_semi").groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
 
