@@ -1,4 +1,4 @@
-"""Stages decide by row: shared or missing ids take no clean row with them."""
+"""Stages decide by row: shared or missing ids take no clean row with them; texts without common words go."""
 
 import random
 
@@ -25,3 +25,12 @@ def test_one_row_stays_of_each_group_whatever_the_ids(spark):
     got = near_copies.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted(r.text for r in got) == sorted(texts)
     assert {r.text: r.doc_id for r in got}[texts[3]] == 5
+
+
+def test_texts_without_common_words_are_rejected(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng), "en") for i in range(60)] + [(100 + i, prose(rng, common=()), "en") for i in range(5)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, k in kept.items() if not k} == {100, 101, 102, 103, 104}
+    alike = [(i, prose(rng, common=()), "en") for i in range(20)]  # a reference without common words judges nobody by them
+    assert all(r.kept for r in quality_rules.judge(spark.createDataFrame(alike, SCHEMA)).collect())

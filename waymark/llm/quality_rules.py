@@ -30,6 +30,9 @@ SYMBOLS = "#*$%&|<>"
 #: Distances (0 to 1) above which a document is rejected.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.31, 0.60
 MIN_CHARS, MIN_WORDS = 200, 100
+#: A text poorer in common words than its reference is rejected above this part of the distance of a text without
+#: any, if by the reference it should hold at least so many of them that their lack is no chance.
+POOR_WORDS, MIN_EXPECTED = 0.90, 10
 
 
 def words_of(text: Column) -> Column:
@@ -139,7 +142,10 @@ def _judged(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
     reference = stats.where("lang is not null and not base_failed").groupBy("lang").agg(sums("classes", 7).alias("ref_classes"), sums("words", 9).alias("ref_words"))
     both = stats.join(reference, "lang", "left")
     both = both.withColumn("class_distance", distance(F.col("classes").cast("array<double>"), F.col("ref_classes"))).withColumn("word_distance", distance(F.col("words").cast("array<double>"), F.col("ref_words")))
-    rejected = (F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class) | (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word)
+    other, total = F.element_at("ref_words", -1), F.aggregate("ref_words", F.lit(0.0), lambda a, b: a + b)
+    without = distance(F.array(*[F.lit(float(k == 8)) for k in range(9)]), F.col("ref_words"))
+    poor = (F.element_at("words", -1) * total > other * F.col("n_words")) & (F.col("n_words") * (total - other) >= MIN_EXPECTED * total) & (F.col("word_distance") > POOR_WORDS * without)
+    rejected = (F.col("word_chars") >= min_chars) & (F.col("class_distance") > max_class) | (F.col("n_words") >= min_words) & ((F.col("word_distance") > max_word) | poor)
     return both.select("text_key", "lang", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).alias("kept"), "class_distance", "word_distance")
 
 
