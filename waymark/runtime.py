@@ -31,4 +31,5 @@ def shared_folder(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file://{tempfile.mkdtemp(prefix='waymark-')}"
+    spark.conf.set("spark.checkpoint.dir", made := f"file://{tempfile.mkdtemp(prefix='waymark-')}")
+    return made
