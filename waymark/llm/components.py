@@ -15,6 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     changes; the rounds grow with the logarithm of the largest component.  Each round is written to the
     shared folder and the round before is deleted, so lineage stays short and nothing goes to the driver
     but a count and a sum of hashes.
+
+    Defined results: edges with a null, loops and repeated edges count for nothing; vertices without a
+    neighbour have no row; an empty table gives an empty result.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before, last = materialize(edges), None, None

@@ -3,13 +3,14 @@
 A window is `n` consecutive words of a lower-cased benchmark text; a shorter text is one window.  Documents
 stream through numpy kernels: every word window of each occurring length is hashed and looked up in a bit
 table, each hit is verified on its words, and all words of a verified occurrence are hit.  Benchmark texts
-are broadcast up to `block_bytes`; a larger benchmark is dealt into blocks below that bound, every block is
-scanned over all documents, and the spans found are united by document.
+are broadcast up to `block_bytes`; of a larger benchmark all tasks get a bit table of fixed size, and the
+windows it lets pass meet the benchmark's in a join on their words.  Either way the documents are scanned
+once, and removing documents or spans moves no text.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; null item ids are
 skipped with their texts; items of equal text are all reported; repeated rows give a row each with equal
 results; empty tables give an empty result or no hits; documents of any length are scanned whole; other
-columns are dropped by `scan` and kept by `decontaminate`.
+columns are dropped by `scan` and kept, whatever their names, by `decontaminate` and `remove_spans`.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .wordbuf import BY_ALNUM_LOWER, Words, chunks, runs
+from .common import fresh, materialize, text_key
+from .wordbuf import BY_ALNUM_LOWER, Words, chunks, mix, runs
 
 WINDOW = 13
 #: UTF-8 bytes of benchmark text that are broadcast at once; a worker's window set takes about 50 times as much.
 BLOCK_BYTES = 4 << 20
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-SCAN_SCHEMA = "doc_id long, text_key string, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+SPANS = "array<struct<start:int,end:int>>"
+#: Size of the bit table of a benchmark too large to broadcast: 16 MB.
+TABLE_BITS = 27
 
 
 class WindowSet:
@@ -85,42 +90,106 @@ def unite(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast(items)
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text").where("item_id is not null and text is not null")
+
+
+def _windows(n: int):
+    """Every window of every item: its number of words, its place in the bit table, its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = WindowSet(block.value, n)
         for part, texts in chunks(batches):
+            words = Words(texts, BY_ALNUM_LOWER)
+            hashes, rows = words.hashes(), []
+            for k, item in enumerate(part.column("item_id").to_pylist()):
+                lo, count = int(words.first[k]), int(words.counts[k])
+                if count:
+                    size = min(n, count)
+                    places = _places(runs(hashes[lo : lo + count], size), size)
+                    rows += [(item, size, place, words.joined(lo + i, size)) for i, place in enumerate(places.tolist())]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["item_id", "size", "place", "words"])
+
+    return run
+
+
+def _places(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (mix(hashes + np.uint64(size)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _found_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """By text_key the spans and item ids of texts with hits: one scan, whatever the benchmark's size.
+
+    A bit table of fixed size (2**TABLE_BITS bits) goes to all tasks; windows of documents whose bit is set
+    meet the benchmark's windows in a join, on their words.
+    """
+    windows = materialize(_items(benchmark).selectExpr("item_id", "cast(text as binary) text").mapInArrow(_windows(n), "item_id string, size int, place long, words binary").distinct())
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # n of them at most
+    packed = windows.groupBy(F.shiftright("place", 3).alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("place") % 8).cast("int"))).alias("bits")).toPandas()
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    table[packed["byte"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.uint8)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            words = Words(texts, BY_ALNUM_LOWER)
+            hashes, rows, keys = words.hashes(), [], {}
+            for size in sizes:
+                if len(words) < size:
+                    continue
+                place = _places(runs(hashes, size), size)
+                at = np.flatnonzero(bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                at = at[words.doc[at] == words.doc[at + size - 1]]
+                for i in at.tolist():
+                    doc = int(words.doc[i])
+                    key = keys.get(doc) or keys.setdefault(doc, hashlib.md5(texts[doc]).hexdigest())
+                    rows.append((key, size, i - int(words.first[doc]), words.joined(i, size)))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["text_key", "size", "start", "words"])
+
+    met = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "text_key string, size int, start int, words binary")
+    hits = met.join(windows, ["size", "words"]).select("text_key", "item_id", F.struct("start", (F.col("start") + F.col("size")).alias("end")).alias("span"))
+    grouped = hits.groupBy("text_key").agg(F.array_sort(F.collect_set("span")).alias("every"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    last, init = lambda got: F.element_at(got, -1), lambda got: F.slice(got, 1, F.size(got) - 1)
+    longer = lambda got, s: F.struct(last(got)["start"].alias("start"), F.greatest(last(got)["end"], s["end"]).alias("end"))
+    grow = lambda got, s: F.when(F.size(got) == 0, F.array(s)).when(s["start"] <= last(got)["end"], F.concat(init(got), F.array(longer(got, s)))).otherwise(F.concat(got, F.array(s)))
+    return grouped.select("text_key", F.aggregate("every", F.expr(f"cast(array() as {SPANS})"), grow).alias("spans"), "item_ids")
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, names: list[str], n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with three more columns, called names: n_words, the united spans of hit words, the item ids."""
+    items = _items(benchmark)
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 64)).first()[0] or 0
+    (text,) = fresh(docs, "text_bytes")
+    held = [(r[0], r[1].encode()) for r in items.collect()] if size <= block_bytes else []
+    block = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = WindowSet(block.value, n)
+        for part, texts in chunks(batches, text):
             words = Words(texts, BY_ALNUM_LOWER)
             hits = windows.hits(words)
             spans = [[{"start": a, "end": b} for a, b in hits[k][0]] if k in hits else [] for k in range(len(texts))]
             ids = [sorted(hits[k][1]) if k in hits else [] for k in range(len(texts))]
-            keys = [hashlib.md5(t).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(words.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "text_key", "n_words", "spans", "item_ids"])
+            made = [pa.array(words.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*part.schema.names[:-1], *names])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").mapInArrow(run, SCAN_SCHEMA)
+    added = _parse_datatype_string(f"n_words long, spans {SPANS}, item_ids array<string>").fields
+    schema = StructType([*docs.schema.fields, *[StructField(name, f.dataType) for name, f in zip(names, added, strict=True)]])
+    out = docs.withColumn(text, F.col("text").cast("binary")).mapInArrow(run, schema)
+    if size <= block_bytes:
+        return out
+    found = _found_by_join(docs, benchmark, n)
+    none = F.expr(f"cast(array() as {SPANS})"), F.expr("cast(array() as array<string>)")
+    (key,) = fresh(out, "text_key")
+    joined = out.join(found.toDF(key, "_found_spans", "_found_ids"), text_key(out["text"]) == F.col(key), "left")
+    return joined.select(*[out[c] for c in docs.columns], out[names[0]], F.coalesce("_found_spans", none[0]).alias(names[1]), F.coalesce("_found_ids", none[1]).alias(names[2]))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For every row of docs: doc_id, text_key, n_words, the united spans of hit words and the item ids."""
-    items = benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 64)).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    rows = lambda df: [(r[0], r[1].encode()) for r in df.collect()]  # noqa: E731  below block_bytes on average
-    if blocks == 1:
-        return _scan(docs, rows(items), n)
-    found = None
-    for k in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        hit = _scan(docs, rows(mine), n).where(F.size("spans") > 0)
-        found = hit if found is None else found.unionByName(hit)
-    # spans of all blocks meet by document and text; repeated rows share them
-    every = _scan(docs, [], n).select("doc_id", "text_key", "n_words")
-    hits = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    grow = lambda got, s: F.when((F.size(got) > 0) & (s["start"] <= F.element_at(got, -1)["end"]), F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), F.array(F.struct(F.element_at(got, -1)["start"].alias("start"), F.greatest(F.element_at(got, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(got, F.array(s)))
-    hits = hits.withColumn("spans", F.aggregate("all", F.expr("cast(array() as array<struct<start:int,end:int>>)"), grow)).drop("all")
-    same = (every["doc_id"].eqNullSafe(hits["doc_id"])) & (every["text_key"] == hits["text_key"])
-    return every.join(hits, same, "left").select(every["doc_id"], every["text_key"], "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"))
+    """For every row of docs: doc_id, n_words, the united spans of hit words and the item ids."""
+    base = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    return annotate(base, benchmark, ["n_words", "spans", "item_ids"], n, block_bytes).drop("text")
 
 
 def n_hit(spans: Column) -> Column:
@@ -139,15 +208,28 @@ def report(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows whose text is contaminated; all columns stay."""
-    bad = scan(docs, benchmark, n, block_bytes).where(is_contaminated(n_hit(F.col("spans")), F.col("n_words"))).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    key = F.md5(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id and text with every hit word left out (words as the scan takes them, joined by one blank)."""
-    found = scan(docs, benchmark, n).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
-    base = docs.select("doc_id", "text").withColumn("_key", F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    kept = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.exists("spans", lambda s: (s["start"] <= x["i"]) & (x["i"] < s["end"])))
-    return base.join(found.select(found["doc_id"].alias("_d"), "text_key", "spans"), base["doc_id"].eqNullSafe(F.col("_d")) & (base["_key"] == F.col("text_key")), "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["w"]), " ")).alias("text"))
+    words, spans, ids = names = fresh(docs, "n_words", "spans", "item_ids")
+    return annotate(docs, benchmark, names, n, block_bytes).where(~is_contaminated(n_hit(F.col(spans)), F.col(words))).drop(*names)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with every span of hit words cut from the texts, from its first word to its last; all else stays."""
+    names = fresh(docs, "n_words", "spans", "item_ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            words = Words(texts, BY_ALNUM_LOWER)
+            offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+            out = []
+            for k, (text, spans) in enumerate(zip(part.column("text").to_pylist(), part.column(names[1]).to_pylist(), strict=True)):
+                for s in reversed(spans):  # offsets before a cut stay true
+                    lo = int(words.starts[words.first[k] + s["start"]] - offset[k])
+                    hi = int(words.ends[words.first[k] + s["end"] - 1] - offset[k])
+                    text = text[:lo] + text[hi:]
+                out.append(text)
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, "text", pa.array(out, pa.binary())).select(docs.columns)
+
+    binary = annotate(docs, benchmark, names, n, block_bytes).withColumn("text", F.col("text").cast("binary"))
+    cut = binary.mapInArrow(run, StructType(binary.schema.fields[: len(docs.columns)]))
+    return cut.withColumn("text", F.col("text").cast(docs.schema["text"].dataType))

@@ -1,20 +1,32 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A text's fingerprint is the bitwise majority over the XXH64 hashes of its word shingles.  Two fingerprints
-within `max_bits` differ in at most max_bits // segments bits of some segment, so each fingerprint looks up
-the small Hamming ball around its segments in a table of all segments and the complete distance is verified
-in the same join.  Documents of one fingerprint are folded first, so copies never make pairs; of two
-segments at an odd distance only the one of even parity looks, so a pair is met once.  Links become groups
-by star contraction (components.py).
-
-Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer words
-than a shingle are one shingle; repeated rows give a row each; an empty table gives an empty result; rows
-with a null doc_id keep their group but never name it (null if they are alone); texts are hashed whole;
-other columns are dropped by `near_duplicates` and kept by `deduplicate`.
+A text's fingerprint is the bitwise majority over hashes of its word shingles, in lanes of 64 bits: the
+first lane counts the shingles' XXH64, each further lane a mix of it.  Fingerprints are cut in segments.
+Every fingerprint enters its segments in a table, looks up the small Hamming ball round each of them, and
+the complete distance of what it meets is verified; of two segments at an odd distance only the one of
+even parity looks.  Documents of one fingerprint (or one shingle set) are folded first, so copies never
+make pairs.  Links become groups by star contraction (components.py).
+
+Two uses.  `near_duplicates` takes one lane and says which fingerprints lie within `max_bits`, all of them:
+with two segments one lies within max_bits // 2.  `similar` finds texts whose shingle sets have Jaccard
+similarity 4/5 or more.  There about 15 of 100 bits differ, so it takes eight lanes and 16 segments of 20
+bits with balls of radius 1, which meet a pair of similarity 0.8 with probability 0.95 and one of 0.9 with
+0.999; every pair that meets is verified on its complete sets, so no other texts are linked.  Dense groups
+are joined first, each text to the most met fingerprint of its segments; afterwards only pairs of different
+groups are looked at, so a group's pairs are not written out.
+
+Defined results: null and empty texts have fingerprint zero and the empty set and link like any other (for
+`similar` they are copies of each other); texts of fewer words than a shingle are one shingle; repeated rows
+give a row each; an empty table gives an empty result; rows with a null doc_id keep their group but never
+name it (null if they are alone); texts are hashed whole; other columns are dropped by `near_duplicates`
+and `similar`, and kept, whatever their names, by `deduplicate`, which keeps exactly one row of a group:
+that of the least doc_id (null last), of equal ids the least digest.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,29 +36,53 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, fresh, materialize, skew_join, text_key
 from .components import components
-from .wordbuf import BY_SPACE_LOWER, Words, chunks
+from .wordbuf import BY_SPACE_LOWER, Words, chunks, mix
 
 _SET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
-_COLUMN = np.arange(8) * 256
+#: What `similar` takes: words of a shingle, lanes of 64 bits, segments a lane, bits of a segment, radius of a ball.
+SHINGLE, LANES, PER_LANE, WIDTH, RADIUS = 5, 8, 2, 20, 1
+#: Share of bits that differ at Jaccard similarity 4/5 (sets of one size: cosine 8/9), and how many standard
+#: deviations more a pair may differ before it is left unverified: 1 pair in 1000 for a lane, 1 in 1000 in all.
+SHARE, DEVIATIONS = math.acos(8 / 9) / math.pi, 3.1
+
+
+def recall(share: float = SHARE, segments: int = LANES * PER_LANE, width: int = WIDTH, radius: int = RADIUS) -> float:
+    """Probability that two fingerprints meet in a segment where each bit differs with probability `share`."""
+    near = sum(math.comb(width, r) * share**r * (1 - share) ** (width - r) for r in range(radius + 1))
+    return 1 - (1 - near) ** segments
 
 
-def fingerprints_of(texts: list[bytes], size: int, seed: int) -> np.ndarray:
+def most_bits(bits: int) -> int:
+    return math.floor(bits * SHARE + DEVIATIONS * math.sqrt(bits * SHARE * (1 - SHARE)))
+
+
+def shingles_of(texts: list[bytes], size: int, seed: int) -> list[np.ndarray]:
+    """The XXH64 of every shingle of every text, repeats included."""
     words = Words(texts, BY_SPACE_LOWER)
     data = b" ".join(words.data.split())
     lengths = words.ends - words.starts
     ends = np.cumsum(lengths + 1) - 1
     starts, stops, digest = (ends - lengths).tolist(), ends.tolist(), xxhash.xxh64_digest
-    out = np.zeros((len(texts), 8), np.uint8)
-    for k, (lo, n) in enumerate(zip(words.first.tolist(), words.counts.tolist(), strict=False)):
-        if n:
-            last = lo + max(n - size, 0)
-            hashes = b"".join([digest(data[i:j], seed) for i, j in zip(starts[lo : last + 1], stops[min(lo + size, lo + n) - 1 : lo + n], strict=True)])
-            at = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-            counts = np.bincount((at + _COLUMN).ravel(), minlength=2048).reshape(8, 256)
-            out[k] = np.packbits(2 * (counts @ _SET_BITS) > len(at))
-    return out.view(">u8").ravel().astype(np.uint64).view(np.int64)
+    out = []
+    for lo, n in zip(words.first.tolist(), words.counts.tolist(), strict=False):
+        last = lo + max(n - size, 0)
+        spans = zip(starts[lo : last + 1], stops[min(lo + size, lo + n) - 1 : lo + n], strict=True) if n else ()
+        out.append(np.frombuffer(b"".join([digest(data[i:j], seed) for i, j in spans]), ">u8").astype(np.uint64))
+    return out
+
+
+def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of one text: `lanes` longs."""
+    if not len(hashes):
+        return np.zeros(lanes, np.int64)
+    every = np.empty((len(hashes), lanes), ">u8")
+    for k in range(lanes):
+        every[:, k] = mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else hashes
+    at = every.view(np.uint8).reshape(len(hashes), 8 * lanes) + np.arange(8 * lanes) * 256
+    counts = np.bincount(at.ravel(), minlength=2048 * lanes).reshape(8 * lanes, 256) @ _SET_BITS
+    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
@@ -54,50 +90,202 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(texts, size, seed))], ["doc_id", "fp"])
+            fps = np.array([majority(h)[0] for h in shingles_of(texts, size, seed)], np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints in column fp that differ in at most max_bits bits."""
-    width, radius = 64 // segments, max_bits // segments
-    low = (1 << width) - 1 if width < 64 else -1
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(x).cast("long") for x in values]).cast("array<long>")
+
+
+def segments(lane: Column, count: int, width: int) -> list[Column]:
+    """The first `count` segments of `width` bits of a lane, lowest bits first."""
+    return [F.shiftrightunsigned(lane, s * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for s in range(count)]
+
+
+def _table(rows: DataFrame, pieces: list[Column]) -> DataFrame:
+    """Every row at its segments: s (number) and v (value)."""
+    return rows.select("*", F.posexplode(F.array(*pieces)).alias("s", "v"))
+
+
+def _lookups(rows: DataFrame, pieces: list[Column], width: int, radius: int) -> DataFrame:
+    """Every row at all it looks up: the segments in the balls of its own, at an odd distance only from even parity."""
     masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
     even, odd = ([m for m in masks if m.bit_count() % 2 == k] for k in (0, 1))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<long>")
-    pieces = [(s, F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit(low).cast("long"))) for s in range(segments)]
 
-    def looked_up(value: Column) -> Column:
-        found = F.transform(longs(even), lambda m: value.bitwiseXOR(m))
-        return F.when(F.bit_count(value) % 2 == 0, F.concat(found, F.transform(longs(odd), lambda m: value.bitwiseXOR(m)))).otherwise(found) if odd else found
+    def ball(value: Column) -> Column:
+        found = F.transform(_longs(even), lambda m: value.bitwiseXOR(m))
+        if not odd:
+            return found
+        more = F.transform(_longs(odd), lambda m: value.bitwiseXOR(m))
+        return F.when(F.bit_count(value) % 2 == 0, F.concat(found, more)).otherwise(found)
+
+    looks = rows.select("*", F.posexplode(F.array(*[F.struct(p.alias("own"), ball(p).alias("vs")) for p in pieces])).alias("s", "k"))
+    return looks.select(*rows.columns, "s", "k.own", F.explode("k.vs").alias("v"))
+
 
-    table = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), v.alias("v")) for s, v in pieces])).alias("k")).select(F.col("fp").alias("t"), "k.s", "k.v")
-    probes = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), v.alias("own"), looked_up(v).alias("vs")) for s, v in pieces])).alias("k")).select("fp", "k.s", "k.own", F.explode("k.vs").alias("v"))
-    same_parity = F.bit_count(F.col("own").bitwiseXOR(F.col("v"))) % 2 == 0
+def _same_parity(own: str, other: str) -> Column:
+    return F.bit_count(F.col(own).bitwiseXOR(F.col(other))) % 2 == 0
+
+
+def links(fps: DataFrame, max_bits: int = 3, count: int = 2) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints in column fp that differ in at most max_bits bits."""
+    width, radius = 64 // count, max_bits // count
+    pieces = segments(F.col("fp"), count, width)
+    table = _table(fps.select("fp"), pieces).withColumnRenamed("fp", "t")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("t"))) <= max_bits
-    pairs = probes.join(table, ["s", "v"]).where(near & (F.col("fp") != F.col("t")) & (~same_parity | (F.col("fp") < F.col("t"))))
+    once = ~_same_parity("own", "v") | (F.col("fp") < F.col("t"))
+    pairs = _lookups(fps.select("fp"), pieces, width, radius).join(table, ["s", "v"]).where(near & (F.col("fp") != F.col("t")) & once)
     return pairs.select(F.greatest("fp", "t").alias("a"), F.least("fp", "t").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, max_bits: int = 3, segments: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, max_bits: int = 3, count: int = 2) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links reach) for every row."""
     fps = materialize(fingerprints(docs, size, seed))
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(classes.select("fp"), max_bits, segments))
+    roots = components(links(classes.select("fp"), max_bits, count))
     rooted = roots.join(classes, roots["id"] == classes["fp"]).select("fp", "root", "first_id")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
     members = rooted.join(named, "root").select(F.col("fp").alias("linked"), "least")
-    labels = classes.join(members, classes["fp"] == F.col("linked"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("least", "first_id").alias("component_id"))
-    return fps.join(labels, fps["fp"] == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    labels = classes.join(members, classes["fp"] == F.col("linked"), "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
+    return skew_join(fps, labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def clustered(docs: DataFrame, name: str, size: int = 3, seed: int = 42, max_bits: int = 3, count: int = 2) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, text and the fingerprint, called name (null without words); and the groups of fingerprints that links join, as (id, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            found = shingles_of(texts, size, seed)
+            fps = pa.array([int(majority(h)[0]) if len(h) else None for h in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, fps], ["doc_id", "source", "text", name])
+
+    base = docs.selectExpr("cast(doc_id as long) doc_id", "cast(source as string) source", "cast(text as binary) text")
+    fps = fingerprints(docs, size, seed).select("fp").distinct()
+    return base.mapInArrow(run, f"doc_id long, source string, text binary, `{name}` long"), components(links(materialize(fps), max_bits, count))
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
-    """One row of docs for each group: of the rows whose doc_id names the group, any (repeated rows are equal in doc_id)."""
-    stays = near_duplicates(docs, **parameters).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if docs.columns else kept
+# --- texts of similarity 4/5 or more ---
+
+
+def _sets(texts: list[bytes], size: int, seed: int) -> list[np.ndarray]:
+    return [np.unique(h) for h in shingles_of(texts, size, seed)]
+
+
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """512 bits: for each value of the hashes' top 9 bits, whether an odd number of shingles has it."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def described(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
+    """For every row doc_id, text_key, the 128-bit name of its shingle set (v, w), its size n, fingerprint fp and parity sketch."""
+    names = ["doc_id", "text_key", "v", "w", "n", "fp", "sketch"]
+    lists = lambda arrays: pa.array([a.tolist() for a in arrays], pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            sets = _sets(texts, size, seed)
+            named = np.frombuffer(b"".join([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), np.int64).reshape(-1, 2)
+            columns = [part.column("doc_id"), pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, lists([majority(s, LANES) for s in sets]), lists([_sketch(s) for s in sets])], names)
+
+    base = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")
+    return base.mapInArrow(run, "doc_id long, text_key string, v long, w long, n long, fp array<long>, sketch array<long>")
+
+
+def _distance(a: str, b: str) -> Column:
+    bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, bits: the pairs (a, b) of set names that may be similar, by sizes, complete distance and sketches.
+
+    9 |A xor B| <= |A| + |B| is Jaccard similarity 4/5 or more, and of two sketches no more bits differ than of two sets shingles.
+    """
+    for end in "ab":
+        own = classes.select(F.col("v").alias(end), F.col("n").alias(f"n{end}"), F.col("fp").alias(f"fp{end}"), F.col("sketch").alias(f"sketch{end}"))
+        pairs = pairs.join(own, end)
+    alike = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * _distance("sketcha", "sketchb") <= F.col("na") + F.col("nb"))
+    return pairs.select("a", "b", _distance("fpa", "fpb").alias("bits"), alike.alias("alike")).where(F.col("alike") & (F.col("bits") <= most_bits(64 * LANES))).drop("alike")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, seed: int) -> DataFrame:
+    """The pairs (a, b) of set names that have Jaccard similarity 4/5 or more, by their complete texts."""
+    asked = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    one = rows.join(asked, "v", "left_semi").groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    one = one.select("v", F.col("k.doc_id").alias("id"), F.col("k.text_key").alias("key"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    same = base["doc_id"].eqNullSafe(one["id"]) & (text_key(base["text"]) == one["key"])
+    texts = materialize(base.join(one, same).select("v", "text").dropDuplicates(["v"]))
+    joined = skew_join(pairs.select("a", "b"), texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
+    joined = joined.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, first in chunks(batches, "ta"):
+            second = [x or b"" for x in part.column("tb").to_pylist()]
+            ok = []
+            for one_text, other in zip(first, second, strict=True):
+                x, y = _sets([one_text, other], size, seed)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(9 * both >= 4 * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    found = materialize(joined.mapInArrow(run, "a long, b long"))
+    forget(texts)
+    return found
+
+
+def _hubs(table: DataFrame) -> DataFrame:
+    """Pairs (a, b): texts and the most met of those that share a segment with them.  table has v, s, p (segment's number and value)."""
+    counts = table.groupBy("s", "p").agg(F.count("*").alias("c")).where("c > 1")
+    met = materialize(skew_join(table, counts, ["s", "p"]))
+    known = met.groupBy("v").agg(F.sum("c").alias("met"))
+    hubs = met.join(known, "v").groupBy("s", "p").agg(F.max(F.struct("met", "v")).alias("hub")).select("s", "p", F.col("hub.v").alias("b"))
+    return skew_join(met.select("s", "p", F.col("v").alias("a")), hubs, ["s", "p"]).where("a <> b").select("a", "b").distinct()
+
+
+def similar(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
+    """doc_id, text_key and component for every row: two longs, equal for all rows that links of similarity 4/5 or more join."""
+    rows = materialize(described(docs, size, seed))
+    classes = materialize(rows.where("n > 0").select("v", "n", "fp", "sketch").dropDuplicates(["v"]))
+    pieces = [p for k in range(LANES) for p in segments(F.get("fp", F.lit(k)), PER_LANE, WIDTH)]
+    table = _table(classes.select("v", "fp"), pieces).toDF("v", "fp", "s", "p").drop("fp")
+    near = _near(_hubs(table), classes).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
+    first = _verified(materialize(near), docs, rows, size, seed)
+    roots = components(first)
+    held = classes.join(roots, classes["v"] == roots["id"], "left").select(classes["v"].alias("a"), F.get("fp", F.lit(0)).alias("lane"), "fp", F.coalesce("root", "v").alias("root"))
+    held = materialize(held)
+    own, other = (_table, lambda r, p: _lookups(r, p, WIDTH, RADIUS))
+    left = other(held, pieces).select("a", "lane", "root", "s", "own", "v")
+    right = own(held, pieces).select(F.col("a").alias("b"), F.col("lane").alias("olane"), F.col("root").alias("oroot"), "s", "v")
+    once = ~_same_parity("own", "v") | (F.col("a") < F.col("b"))
+    close = F.bit_count(F.col("lane").bitwiseXOR(F.col("olane"))) <= most_bits(64)
+    met = left.join(right, ["s", "v"]).where((F.col("root") != F.col("oroot")) & once & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    second = _verified(materialize(_near(met, classes).select("a", "b")), docs, rows, size, seed)
+    roots = components(first.union(second))
+    labelled = rows.join(roots, rows["v"] == roots["id"], "left")
+    # texts that link to none are told apart by all 128 bits of the name
+    return labelled.select("doc_id", "text_key", F.coalesce("root", "v").alias("component"), F.when(F.col("root").isNull(), F.col("w")).alias("component2"))
+
+
+def deduplicate(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
+    """Exactly one row of docs for each group of similar texts; all columns stay."""
+    keys = materialize(similar(docs, size, seed).groupBy("component", "component2", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("w")
+    least = keys.groupBy("component", "component2").agg(first).withColumnsRenamed({"component": "c", "component2": "c2"})
+    stays = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("text_key") == F.col("w.text_key"))
+    i, k, s = fresh(docs, "id", "key", "stays")
+    same = (keys["component"] == least["c"]) & keys["component2"].eqNullSafe(least["c2"])
+    marks = keys.join(least, same).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), stays.alias(s), "n").where(f"n > 1 or not {s}").drop("n")
+    judged = docs.join(materialize(marks), docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (text_key(docs["text"]) == F.col(k)), "left")
+    once = judged.where(F.col(s).isNull()).drop(i, k, s)
+    repeated = judged.where(s).dropDuplicates([i, k]).drop(i, k, s)
+    return once.union(repeated)

@@ -2,24 +2,27 @@
 
 A window of `size` words whose words also start earlier (smaller doc_id, or earlier in the same document) is
 removed.  One automaton of a whole corpus can't be held, and streaming every document past every shard grows
-with the square of the corpus; so windows meet by anchors.  Each window names the least of its 8-word hashes
-(its minimizer); equal windows name equal anchors at equal places, and windows in a row that name one
-occurrence of an anchor form a piece.
-
-1. Pieces are told apart by hash.  A piece that occurs earlier as it is goes whole, with no text moved.
-2. The first occurrences of different pieces of one anchor can share windows.  Their words go to the anchor's
-   reference shard: pieces stream past the shard's suffix automaton in order, which gives the longest match
-   that ends at each word, and are then added to it.  Where that reaches `size`, the window is a repeat.
+with the square of the corpus; so documents are routed to the shards of reference text that can match them,
+by anchors.  Each window names the least of its 8-word hashes (its minimizer); equal windows name equal
+anchors at equal places, and windows in a row that name one occurrence of an anchor form a piece.
+
+1. Pieces meet by anchor, in order of document and place.  Of an anchor that occurs once nothing can repeat.
+   A piece whose hash occurred before is routed to the document of its first occurrence; pieces of different
+   hashes that share an anchor are routed to a shard of that anchor.
+2. Every document's routed spans go to their shards as words.  A shard's reference text becomes a suffix
+   automaton, and the spans stream past it in order, which gives the longest match that ends at each word;
+   where that reaches `size`, the window is a repeat.  Hashes only route: no word goes without such a match.
 3. The spans covered by repeats leave each document.
 
-Copies in one batch are folded before the shuffle.  An anchor with very many different pieces is dealt by
-single windows instead, so no group is larger than `hot` pieces, and a shard's automaton has at most
-`shard_words` words and one group.  Equality in step 1 is that of 64-bit hashes of the words of a piece.
+Copies within one chunk of a task are compared there word for word and not shuffled.  A document's copies
+are dealt to shards of at most `fanout`, each with the reference text; a shard's reference is at most `block`
+pieces of one document, or `hot` pieces of one anchor; an anchor with more different pieces is dealt by single
+windows, so that no group is collected and no automaton grows with the corpus.
 
 Defined results: null and empty texts, and texts shorter than a window, lose nothing; rows that share a
-doc_id are ordered by a hash of their text, and equal rows lose the same words; a null doc_id comes before
-all others; an empty table gives an empty result; texts of any length are handled whole; other columns are
-dropped by `remove_repeats` and kept by `without_repeats`.
+doc_id are ordered by hashes of their text (96 bits), and equal rows lose the same words; a null doc_id comes
+before all others; an empty table gives an empty result; texts of any length are handled whole; other columns
+are dropped by `remove_repeats` and kept, whatever their names, by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -29,15 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .wordbuf import BY_SPACE, Words, chunks, mix, runs
 
 WINDOW, ANCHOR = 20, 8
-HOT_PIECES, SHARD_WORDS = 512, 50_000
+HOT_PIECES, FANOUT, BLOCK = 512, 64, 4096
 _NO_ID = -(1 << 63)
-COPY, CHECK, HOT = 0, 1, 2
+#: What a mark says of a piece: a copy found within its chunk; a copy, or a reference of copies; one of several
+#: pieces of an anchor; a piece of a hot anchor.
+SAME, REFERENCE, COPY, CHECK, HOT = range(5)
+_ROW = ["did", "t", "u"]
+_MARKS = "did long, t long, u int, q int, kind int, key long"
+_SPANS = "did long, t long, u int, start int, n int"
 
 
 class Pieces:
@@ -59,51 +68,64 @@ class Pieces:
         self.anchor = grams[self.q].view(np.int64) if len(q) else np.zeros(0, np.int64)
         self.key = runs(self.hashes, self.n + size - 1, self.start).view(np.int64) if len(q) else np.zeros(0, np.int64)
         self.local = self.start - words.first[self.doc]
+        self.place = self.q - words.first[self.doc]
 
 
-def _int64(column: pa.Array) -> np.ndarray:
+def _ints(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
 def _occurrences(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             words = Words(texts, BY_SPACE)
             p = Pieces(words, size)
-            did, t = _int64(part.column("did"))[p.doc], _int64(part.column("t"))[p.doc]
-            q = p.q - words.first[p.doc]
-            order = np.lexsort((q, t, did, p.key, p.anchor))
-            a, c, did, t, q = (x[order] for x in (p.anchor, p.key, did, t, q))
-            same = np.concatenate(([False], (a[1:] == a[:-1]) & (c[1:] == c[:-1]))) if len(a) else np.zeros(0, bool)
-            begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(a)))) if len(a) else np.zeros(0, np.int64)
-            copy = same & ((did != did[begin]) | (t != t[begin]) | (q != q[begin]))
-            salted = np.where(copy, mix((did ^ q).view(np.uint64)).view(np.int64), a)  # copies need not meet
-            yield pa.RecordBatch.from_arrays([pa.array(salted), pa.array(c), pa.array(did), pa.array(t.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(copy)], ["a", "c", "did", "t", "q", "copy"])
+            did, t, u = (_ints(part.column(c))[p.doc] for c in _ROW)
+            order = np.lexsort((p.place, u, t, did, p.key, p.anchor))
+            a, c, did, t, u, q = (x[order] for x in (p.anchor, p.key, did, t, u, p.place))
+            copy = np.zeros(len(a), bool)
+            if len(a):
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+                begin = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+                start, n = p.start[order].tolist(), (p.n[order] + size - 1).tolist()
+                for i in np.flatnonzero(~new & ((did != did[begin]) | (t != t[begin]) | (u != u[begin]) | (q != q[begin]))).tolist():
+                    j = int(begin[i])
+                    copy[i] = words.joined(start[i], n[i]) == words.joined(start[j], n[j])
+                a[copy] = a[0]  # these meet no others
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, c, did, t, u.astype(np.int32), q.astype(np.int32), copy)], ["a", "c", *_ROW, "q", "copy"])
 
     return run
 
 
-def _sorted_out(hot: int):
-    """Rows in order of anchor, piece, document and place: which pieces are copies, and which must be compared."""
+def _routed(hot: int, fanout: int, block: int):
+    """Rows in order of anchor, piece, document and place: which pieces may repeat, and the shard that tells."""
+
+    def shard(first: tuple, n: int) -> int:
+        return hash((*first[:3], first[3] // block, n // fanout))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["did", "t", "q", "kind", "a"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
-        anchor = piece = first = None
+        anchor = piece = first = last = None
         waiting: list[tuple] = []
-        many = False
+        many, copies = False, 0
 
         def close() -> list[tuple]:
             return [] if many or len(waiting) < 2 else [(*x, CHECK, anchor) for x in waiting]
 
         for batch in batches:
-            copied = np.flatnonzero(batch.column("copy").to_numpy(zero_copy_only=False))
-            if len(copied):
-                mine = batch.take(pa.array(copied))
-                yield pa.RecordBatch.from_arrays([mine.column("did"), mine.column("t"), mine.column("q"), pa.array(np.full(len(copied), COPY, np.int32)), mine.column("a")], names)
-            rest = batch.filter(pa.array(~batch.column("copy").to_numpy(zero_copy_only=False)))
-            a, c = _int64(rest.column("a")), _int64(rest.column("c"))
+            copied = batch.column("copy")
+            if copied.true_count:
+                mine = batch.filter(copied)
+                kind = pa.array(np.full(len(mine), SAME, np.int32))
+                yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in (*_ROW, "q")), kind, mine.column("a")], [*_ROW, "q", "kind", "key"])
+            rest = batch.filter(pa.array(~copied.to_numpy(zero_copy_only=False)))
+            a, c = _ints(rest.column("a")), _ints(rest.column("c"))
             # rows of an anchor that occurs once are skipped without a loop, but for the batch's last anchor
             alone = np.ones(len(a), bool)
             if len(a):
@@ -113,58 +135,68 @@ def _sorted_out(hot: int):
                 alone[-1] = False
             at = np.flatnonzero(~alone)
             out = []
-            for x, k, d, t, q in zip(a[at].tolist(), c[at].tolist(), *(_int64(rest.column(n))[at].tolist() for n in ("did", "t", "q")), strict=True):
+            for x, k, *row in zip(a[at].tolist(), c[at].tolist(), *(_ints(rest.column(n))[at].tolist() for n in (*_ROW, "q")), strict=True):
+                own = tuple(row)
                 if x != anchor:
                     out += close()
                     anchor, piece, waiting, many = x, None, [], False
                 if k == piece:
-                    if (d, t, q) != first:
-                        out.append((d, t, q, COPY, x))
+                    if own != last:
+                        if copies % fanout == 0:
+                            out.append((*first, REFERENCE, shard(first, copies)))
+                        out.append((*own, COPY, shard(first, copies)))
+                        copies, last = copies + 1, own
                     continue
-                piece, first = k, (d, t, q)
+                piece, first, last, copies = k, own, own, 0
                 if many:
-                    out.append((d, t, q, HOT, x))
+                    out.append((*own, HOT, x))
                     continue
-                waiting.append(first)
+                waiting.append(own)
                 if len(waiting) > hot:
                     out += [(*w, HOT, x) for w in waiting]
                     waiting, many = [], True
             if out:
-                yield pack(out)
+                yield _batch(out, _MARKS)
         if out := close():
-            yield pack(out)
+            yield _batch(out, _MARKS)
 
     return run
 
 
+_TEXTS = "key long, did long, t long, u int, start int, kind int, words binary"
+
+
 def _texts(size: int):
-    """The words of the pieces that must be compared, keyed by anchor, or by window where the anchor is hot."""
+    """The words of routed spans, by shard; of hot anchors window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             words = Words(texts, BY_SPACE)
             p = Pieces(words, size)
-            at = {(d, q): k for k, (d, q) in enumerate(zip(p.doc.tolist(), (p.q - words.first[p.doc]).tolist(), strict=True))}
-            rows, hot = [], []
-            for k, (did, t, asked) in enumerate(zip(part.column("did").to_pylist(), part.column("t").to_pylist(), part.column("checks").to_pylist(), strict=True)):
-                for x in asked:
-                    i = at.get((k, x["q"]))
-                    if i is None:
-                        continue
-                    start, local, n = int(p.start[i]), int(p.local[i]), int(p.n[i])
-                    if x["kind"] == CHECK:
-                        rows.append((x["a"], did, t, local, words.joined(start, n + size - 1)))
+            at = {x: i for i, x in enumerate(zip(p.doc.tolist(), p.place.tolist(), strict=True))}
+            start, local, count = p.start.tolist(), p.local.tolist(), p.n.tolist()
+            rows, known = [], set()
+            for k, (marks, *own) in enumerate(zip(part.column("marks").to_pylist(), *(part.column(c).to_pylist() for c in _ROW), strict=True)):
+                spans = sorted((m["kind"], m["key"], at[k, m["q"]]) for m in marks if m["kind"] != SAME)
+                begin = 0
+                for j, (kind, key, i) in enumerate(spans):
+                    if kind == HOT:
+                        for w in range(count[i]):
+                            text = words.joined(start[i] + w, size)
+                            row = (*own, local[i] + w)
+                            if text in known:  # met in this chunk before: it repeats, and has no need to meet others
+                                rows.append((hash(row), *row, SAME, b""))
+                            else:
+                                known.add(text)
+                                rows.append((int.from_bytes(runs(p.hashes, size, np.array([start[i] + w])).tobytes(), "little", signed=True), *row, CHECK, text))
+                    elif kind == CHECK or j + 1 == len(spans) or spans[j + 1] != (kind, key, i + 1):
+                        first = i if kind == CHECK else spans[begin][2]
+                        n = start[i] - start[first] + count[i] + size - 1
+                        rows.append((key, *own, local[first], kind, words.joined(start[first], n)))
                     else:
-                        hot += [(did, t, local + j, start + j) for j in range(n)]
-            if hot:
-                keys = runs(p.hashes, size, np.array([h[3] for h in hot])).view(np.int64).tolist()
-                least: dict[int, tuple] = {}
-                for key, h in zip(keys, hot, strict=True):
-                    least[key] = min(least.get(key, h), h)
-                for key, h in zip(keys, hot, strict=True):  # of equal windows of this batch only the first must meet others
-                    rows.append((key, *h[:3], words.joined(h[3], size)) if least[key][:3] == h[:3] else (key ^ hash(h), *h[:3], b""))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["key", "did", "t", "start", "words"])
+                        continue
+                    begin = j + 1
+            yield _batch(rows, _TEXTS)
 
     return run
 
@@ -231,49 +263,48 @@ class SuffixAutomaton:
         return out
 
 
-def _compared(size: int, shard_words: int):
+def _compared(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, held, now = SuffixAutomaton(), 0, None
+        automaton, now = SuffixAutomaton(), None
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for key, did, t, start, text in zip(*(batch.column(n).to_pylist() for n in ("key", "did", "t", "start", "words")), strict=True):
-                if not text:
-                    out.append((did, t, start, 1))
+            out: list[tuple] = []
+            for key, did, t, u, start, kind, text in zip(*(batch.column(n).to_pylist() for n in ("key", *_ROW, "start", "kind", "words")), strict=True):
+                if kind == SAME:
+                    out.append((did, t, u, start, 1))
                     continue
                 if key != now:
-                    now = key
-                    if held > shard_words:
-                        automaton, held = SuffixAutomaton(), 0
-                words = text.split(b" ")
-                run_from = None
-                ends = automaton.matches(words)
-                for i in range(size - 1, len(words) + 1):
-                    if i < len(words) and ends[i] >= size:
-                        run_from = i if run_from is None else run_from
-                    elif run_from is not None:
-                        out.append((did, t, start + run_from - size + 1, i - run_from))
-                        run_from = None
-                automaton.add(words)
-                held += len(words)
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["did", "t", "start", "n"])
+                    automaton, now = SuffixAutomaton(), key
+                words, found = text.split(b" "), 0
+                if kind != REFERENCE:
+                    begin = None
+                    for i, n in enumerate((*automaton.matches(words), 0)):
+                        if n >= size:
+                            begin = i if begin is None else begin
+                        elif begin is not None:
+                            out.append((did, t, u, start + begin - size + 1, i - begin))
+                            found, begin = found + i - begin, None
+                if kind != COPY and found < len(words) - size + 1:
+                    automaton.add(words)
+            yield _batch(out, _SPANS)
 
     return run
 
 
-def _kept(size: int):
+def _kept(size: int, carried: bool):
+    names = [*_ROW, "n_words", "n_removed", "kept"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             words = Words(texts, BY_SPACE)
-            copies, spans = part.column("copies").to_pylist(), part.column("spans").to_pylist()
+            marks, spans = part.column("marks").to_pylist(), part.column("spans").to_pylist()
             step = np.zeros(len(words) + size + 1, np.int64)
-            if any(copies):
+            same = [(k, m["q"]) for k, found in enumerate(marks) for m in found or () if m["kind"] == SAME]
+            if same:
                 p = Pieces(words, size)
                 wanted = np.zeros(len(words), bool)
-                for k, qs in enumerate(copies):
-                    if qs:
-                        wanted[np.array(qs) + words.first[k]] = True
-                mine = np.flatnonzero(wanted[p.q]) if len(p.q) else np.zeros(0, np.int64)
+                k, q = (np.array(x) for x in zip(*same, strict=True))
+                wanted[q + words.first[k]] = True
+                mine = np.flatnonzero(wanted[p.q])
                 np.add.at(step, p.start[mine], 1)
                 np.add.at(step, p.start[mine] + p.n[mine] + size - 1, -1)
             for k, found in enumerate(spans):
@@ -284,43 +315,56 @@ def _kept(size: int):
             removed = np.bincount(words.doc[gone], minlength=len(texts))
             starts, ends, kept = words.starts.tolist(), words.ends.tolist(), []
             for k in range(len(texts)):
-                lo, hi = int(words.first[k]), int(words.first[k + 1])
-                left = np.flatnonzero(~gone[lo:hi]) + lo if removed[k] else range(lo, hi)
-                kept.append(b" ".join([words.data[starts[i] : ends[i]] for i in left]))
-            yield pa.RecordBatch.from_arrays([part.column("did"), part.column("t"), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary())], ["did", "t", "n_words", "n_removed", "kept"])
+                lo, n = int(words.first[k]), int(words.counts[k])
+                if not removed[k]:
+                    kept.append(words.joined(lo, n) if n else b"")
+                else:
+                    left = np.flatnonzero(~gone[lo : lo + n]) + lo
+                    kept.append(b" ".join([words.data[starts[i] : ends[i]] for i in left.tolist()]))
+            made = [*(part.column(c) for c in _ROW), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary())]
+            if carried:
+                made += [part.column("text"), part.column("rest")]
+            yield pa.RecordBatch.from_arrays(made, [*names, "text", "rest"] if carried else names)
 
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _removed(docs: DataFrame, rest: Column | None, size: int, hot: int, fanout: int, block: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.hash(text).alias("t"), text.alias("text"))
-
-
-def remove_repeats(docs: DataFrame, size: int = WINDOW, hot: int = HOT_PIECES, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, t (hash of the text), n_words, n_removed, kept (the words that stay, joined by one blank, as bytes) for every row."""
-    base = _keyed(docs)
-    found = base.mapInArrow(_occurrences(size), "a long, c long, did long, t int, q int, copy boolean")
-    marks = found.repartition("a").sortWithinPartitions("a", "c", "did", "t", "q").mapInArrow(_sorted_out(hot), "did long, t int, q int, kind int, a long")
-    listed = marks.groupBy("did", "t").agg(F.collect_list(F.when(F.col("kind") == COPY, F.col("q"))).alias("copies"), F.collect_list(F.when(F.col("kind") != COPY, F.struct("q", "kind", "a"))).alias("checks"))
-    asked = base.join(listed.where(F.size("checks") > 0).select("did", "t", "checks"), ["did", "t"])
-    texts = asked.mapInArrow(_texts(size), "key long, did long, t int, start int, words binary")
-    matched = texts.repartition("key").sortWithinPartitions("key", "did", "t", "start").mapInArrow(_compared(size, shard_words), "did long, t int, start int, n int")
-    spans = matched.groupBy("did", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    gone = listed.select("did", "t", "copies").join(spans, ["did", "t"], "left")
-    kept = base.join(gone, ["did", "t"], "left").mapInArrow(_kept(size), "did long, t int, n_words long, n_removed long, kept binary")
-    return kept.select(F.when(F.col("did") != _NO_ID, F.col("did")).alias("doc_id"), "t", "n_words", "n_removed", "kept")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("t"), F.hash(text).alias("u"), text.alias("text")]
+    base = docs.select(*own, *([] if rest is None else [rest.alias("rest")]))
+    found = base.select(*_ROW, "text").mapInArrow(_occurrences(size), "a long, c long, did long, t long, u int, q int, copy boolean")
+    routed = found.repartition("a").sortWithinPartitions("a", "c", *_ROW, "q").mapInArrow(_routed(hot, fanout, block), _MARKS)
+    marks = routed.groupBy(*_ROW).agg(F.collect_set(F.struct("q", "kind", "key")).alias("marks"))
+    asked = base.join(marks.where(F.exists("marks", lambda m: m["kind"] != SAME)), _ROW)
+    texts = asked.mapInArrow(_texts(size), _TEXTS)
+    matched = texts.repartition("key").sortWithinPartitions("key", *_ROW, "start", "kind").mapInArrow(_compared(size), _SPANS)
+    spans = matched.groupBy(*_ROW).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    gone = marks.select(*_ROW, F.filter("marks", lambda m: m["kind"] == SAME).alias("marks")).join(spans, _ROW, "left")
+    schema = _parse_datatype_string("did long, t long, u int, n_words long, n_removed long, kept binary" + (", text binary" if rest is not None else ""))
+    if rest is not None:
+        schema = StructType([*schema.fields, StructField("rest", base.schema["rest"].dataType)])
+    return base.join(gone, _ROW, "left").mapInArrow(_kept(size, rest is not None), schema)
+
+
+def remove_repeats(docs: DataFrame, size: int = WINDOW, hot: int = HOT_PIECES, fanout: int = FANOUT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank, as bytes) for every row."""
+    out = _removed(docs, None, size, hot, fanout, block)
+    return out.select(F.when(F.col("did") != _NO_ID, F.col("did")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = WINDOW, hot: int = HOT_PIECES, fanout: int = FANOUT, block: int = BLOCK) -> DataFrame:
     """docs with the repeats taken out of the texts; a text that loses nothing stays as it is, n_chars follows the text."""
-    cut = remove_repeats(docs, **parameters).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("kept").cast("string").alias("_kept")).dropDuplicates(["_id", "_t"])
-    t = F.hash(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
-    both = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("_id")) & (t == F.col("_t")), "left")
-    text = F.coalesce(F.col("_kept"), docs["text"])
-    made = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
-    return both.select(*[made[c].alias(c) if c in made else docs[c] for c in docs.columns])
+    names = [c for c in docs.columns if c != "text"]
+    rest = F.struct(F.col("text").isNull().alias("c0"), *[docs[c].alias(f"c{i + 1}") for i, c in enumerate(names)])
+    out = _removed(docs, rest, size, hot, fanout, block)
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept")).when(~F.col("rest.c0"), F.col("text")).cast(docs.schema["text"].dataType)
+    made = {c: F.col(f"rest.c{i + 1}") for i, c in enumerate(names)} | {"text": text}
+    if "n_chars" in names:
+        made["n_chars"] = F.when(cut, F.length(F.col("kept").cast("string")).cast(docs.schema["n_chars"].dataType)).otherwise(made["n_chars"])
+    return out.select(*[made[c].alias(c) for c in docs.columns])

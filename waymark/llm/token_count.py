@@ -12,9 +12,11 @@ table gives an empty result; texts of any length are counted whole; other column
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +31,11 @@ _CUTS = ".,!?;:|#$%&*<>()[]{}\"'/-\n"
 class Counter(dict):
     """Unit of text to number of tokens."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_bytes: bytes):
         import sentencepiece
 
         super().__init__()
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.rank = {piece: int(-model.get_score(i)) for i in plain for piece in (model.id_to_piece(i),)}
@@ -86,23 +88,27 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.units(BLANK + text.replace(" ", BLANK)))) if text else 0
 
 
-_loaded: dict[str, Counter] = {}
+_loaded: dict[bytes, Counter] = {}
 
 
-def counter(model_file: str) -> Counter:
-    if model_file not in _loaded:
-        _loaded[model_file] = Counter(model_file)
-    return _loaded[model_file]
+def counter(model_bytes: bytes) -> Counter:
+    key = hashlib.sha256(model_bytes).digest()
+    if key not in _loaded:
+        _loaded[key] = Counter(model_bytes)
+    return _loaded[key]
 
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row; model_file must be readable on every executor."""
+    """doc_id, n_bytes, n_tokens, over_limit for every row; the driver reads model_file and hands its bytes to the tasks."""
+    model = docs.sparkSession.sparkContext.broadcast(Path(model_file).read_bytes())  # a vocabulary, no data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model_file).count
+        count = counter(model.value).count
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             tokens = [count(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            made = [pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    base = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return base.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

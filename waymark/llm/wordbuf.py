@@ -7,7 +7,9 @@ Hashes here only ever *propose* equal words or windows; each caller says how it
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,9 @@ import pyarrow as pa
 #: Bytes of text that one step of a kernel holds; its numpy arrays take about 40 times as much.
 CHUNK_BYTES = 1 << 20
 
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 256
+
 SPACE_BYTES = b"\t\n\x0b\x0c\r "
 #: For bytes.translate: white space of the word pattern `[^\x20\x09-\x0D]+` becomes a blank.
 BY_SPACE = bytes(32 if b in SPACE_BYTES else b for b in range(256))
@@ -69,11 +74,22 @@ class Words:
     def hashes(self) -> np.ndarray:
         up, down = powers(len(self.buf))
         run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up)))
-        return mix((run[self.ends] - run[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        out = mix((run[self.ends] - run[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():  # some long words collide under any base
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
+        return out
+
+    @cached_property
+    def _plain(self) -> tuple[bytes, list[int], list[int]]:
+        """All words joined by one blank, and where each begins and ends."""
+        lengths = self.ends - self.starts
+        ends = np.cumsum(lengths + 1) - 1
+        return b" ".join(self.data.split()), (ends - lengths).tolist(), ends.tolist()
 
     def joined(self, i: int, n: int) -> bytes:
         """Words i to i + n, joined by one blank."""
-        return b" ".join(self.data[i:j] for i, j in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist(), strict=True))
+        data, starts, ends = self._plain
+        return data[starts[i] : ends[i + n - 1]]
 
 
 def runs(hashes: np.ndarray, lengths: np.ndarray | int, at: np.ndarray | None = None) -> np.ndarray:
