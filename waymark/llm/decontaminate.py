@@ -125,7 +125,7 @@ def _found_by_join(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     """
     windows = materialize(_items(benchmark).selectExpr("item_id", "cast(text as binary) text").mapInArrow(_windows(n), "item_id string, size int, place long, words binary").distinct())
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # n of them at most
-    packed = windows.groupBy(F.shiftright("place", 3).alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), (F.col("place") % 8).cast("int"))).alias("bits")).toPandas()
+    packed = windows.groupBy(F.shiftright("place", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(place % 8 as int))")).alias("bits")).toPandas()
     table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
     table[packed["byte"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.uint8)
     bits = docs.sparkSession.sparkContext.broadcast(table)
@@ -214,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every span of hit words cut from the texts, from its first word to its last; all else stays."""
-    names = fresh(docs, "n_words", "spans", "item_ids")
+    names, columns = fresh(docs, "n_words", "spans", "item_ids"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -228,7 +228,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_b
                     text = text[:lo] + text[hi:]
                 out.append(text)
             at = part.schema.get_field_index("text")
-            yield part.set_column(at, "text", pa.array(out, pa.binary())).select(docs.columns)
+            yield part.set_column(at, "text", pa.array(out, pa.binary())).select(columns)
 
     binary = annotate(docs, benchmark, names, n, block_bytes).withColumn("text", F.col("text").cast("binary"))
     cut = binary.mapInArrow(run, StructType(binary.schema.fields[: len(docs.columns)]))

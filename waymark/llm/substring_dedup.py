@@ -175,20 +175,16 @@ def _texts(size: int):
             p = Pieces(words, size)
             at = {x: i for i, x in enumerate(zip(p.doc.tolist(), p.place.tolist(), strict=True))}
             start, local, count = p.start.tolist(), p.local.tolist(), p.n.tolist()
-            rows, known = [], set()
+            rows, hot, least = [], [], {}
             for k, (marks, *own) in enumerate(zip(part.column("marks").to_pylist(), *(part.column(c).to_pylist() for c in _ROW), strict=True)):
                 spans = sorted((m["kind"], m["key"], at[k, m["q"]]) for m in marks if m["kind"] != SAME)
                 begin = 0
                 for j, (kind, key, i) in enumerate(spans):
                     if kind == HOT:
-                        for w in range(count[i]):
-                            text = words.joined(start[i] + w, size)
-                            row = (*own, local[i] + w)
-                            if text in known:  # met in this chunk before: it repeats, and has no need to meet others
-                                rows.append((hash(row), *row, SAME, b""))
-                            else:
-                                known.add(text)
-                                rows.append((int.from_bytes(runs(p.hashes, size, np.array([start[i] + w])).tobytes(), "little", signed=True), *row, CHECK, text))
+                        for w in range(start[i], start[i] + count[i]):
+                            row, text = (*own, local[i] + w - start[i]), words.joined(w, size)
+                            least[text] = min(least.get(text, row), row)
+                            hot.append((w, row, text))
                     elif kind == CHECK or j + 1 == len(spans) or spans[j + 1] != (kind, key, i + 1):
                         first = i if kind == CHECK else spans[begin][2]
                         n = start[i] - start[first] + count[i] + size - 1
@@ -196,6 +192,9 @@ def _texts(size: int):
                     else:
                         continue
                     begin = j + 1
+            keys = runs(p.hashes, size, np.array([w for w, _, _ in hot], np.int64)).view(np.int64).tolist()
+            for key, (_, row, text) in zip(keys, hot, strict=True):  # of equal windows of a chunk only the first has need to meet others
+                rows.append((key, *row, CHECK, text) if least[text] == row else (hash(row), *row, SAME, b""))
             yield _batch(rows, _TEXTS)
 
     return run
@@ -265,10 +264,12 @@ class SuffixAutomaton:
 
 def _compared(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, now = SuffixAutomaton(), None
+        automaton, now, last = SuffixAutomaton(), None, None
         for batch in batches:
             out: list[tuple] = []
             for key, did, t, u, start, kind, text in zip(*(batch.column(n).to_pylist() for n in ("key", *_ROW, "start", "kind", "words")), strict=True):
+                if last == (last := (key, did, t, u, start, kind)):  # a repeated row is no repeat of itself
+                    continue
                 if kind == SAME:
                     out.append((did, t, u, start, 1))
                     continue
