@@ -13,6 +13,8 @@ from waymark.runtime import shared_folder
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: A key with more than this part of a join's rows is hot, so there are at most as many hot keys.
 HOT_PART, HOT_ROWS = 2000, 50
+#: Rows of a few numbers up to which a table is broadcast: about 20 MB.
+SMALL_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,11 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, a table of a few short columns, to be broadcast if it has at most SMALL_ROWS rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """Inner join on the columns `key`, which right has once each; rows of a hot key of left are dealt over many tasks.
 

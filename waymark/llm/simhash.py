@@ -8,12 +8,13 @@ even parity looks.  Documents of one fingerprint (or one shingle set) are folded
 make pairs.  Links become groups by star contraction (components.py).
 
 Two uses.  `near_duplicates` takes one lane and says which fingerprints lie within `max_bits`, all of them:
-with two segments one lies within max_bits // 2.  `similar` finds texts whose shingle sets have Jaccard
-similarity 4/5 or more.  There about 15 of 100 bits differ, so it takes eight lanes and 16 segments of 20
-bits with balls of radius 1, which meet a pair of similarity 0.8 with probability 0.95 and one of 0.9 with
-0.999; every pair that meets is verified on its complete sets, so no other texts are linked.  Dense groups
-are joined first, each text to the most met fingerprint of its segments; afterwards only pairs of different
-groups are looked at, so a group's pairs are not written out.
+with two segments one lies within max_bits // 2.  `similar` finds all pairs of texts whose shingle sets have
+Jaccard similarity 4/5 or more.  There about 15 of 100 bits differ, so fingerprints alone can't tell: they
+join the dense groups first (eight lanes with a segment of 32 bits each, every text to the most met
+fingerprint of its segments, verified on the complete sets), and an exact prefix filter finds what is left: read in one order,
+two sets of similarity 4/5 share a shingle among their first n // 5 + 1.  Pairs within a group that is joined
+already are not looked at, and every pair is verified on its complete sets.  The order doesn't matter for
+exactness; shingles that a sample finds often come last, so hot ones are met only by texts made of little else.
 
 Defined results: null and empty texts have fingerprint zero and the empty set and link like any other (for
 `similar` they are copies of each other); texts of fewer words than a shingle are one shingle; repeated rows
@@ -26,7 +27,6 @@ that of the least doc_id (null last), of equal ids the least digest.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,26 +36,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, materialize, skew_join, text_key
+from .common import forget, fresh, materialize, skew_join, small, text_key
 from .components import components
-from .wordbuf import BY_SPACE_LOWER, Words, chunks, mix
+from .wordbuf import BY_SPACE_LOWER, Words, chunks, mix, texts_of
 
 _SET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
-#: What `similar` takes: words of a shingle, lanes of 64 bits, segments a lane, bits of a segment, radius of a ball.
-SHINGLE, LANES, PER_LANE, WIDTH, RADIUS = 5, 8, 2, 20, 1
-#: Share of bits that differ at Jaccard similarity 4/5 (sets of one size: cosine 8/9), and how many standard
-#: deviations more a pair may differ before it is left unverified: 1 pair in 1000 for a lane, 1 in 1000 in all.
-SHARE, DEVIATIONS = math.acos(8 / 9) / math.pi, 3.1
-
-
-def recall(share: float = SHARE, segments: int = LANES * PER_LANE, width: int = WIDTH, radius: int = RADIUS) -> float:
-    """Probability that two fingerprints meet in a segment where each bit differs with probability `share`."""
-    near = sum(math.comb(width, r) * share**r * (1 - share) ** (width - r) for r in range(radius + 1))
-    return 1 - (1 - near) ** segments
-
-
-def most_bits(bits: int) -> int:
-    return math.floor(bits * SHARE + DEVIATIONS * math.sqrt(bits * SHARE * (1 - SHARE)))
+#: What `similar` takes: words of a shingle, lanes of 64 bits, bits of the one segment of a lane.
+SHINGLE, LANES, WIDTH = 5, 8, 32
+#: Shingles named as common at most (they only order the others), and how often the sample must hold them.
+MAX_COMMON, OFTEN = 300_000, 3
+#: Shingle sets that a task remembers while it compares texts, and the bytes of a text from which on it doesn't.
+REMEMBERED_SETS, REMEMBERED_BYTES = 1000, 1 << 16
 
 
 def shingles_of(texts: list[bytes], size: int, seed: int) -> list[np.ndarray]:
@@ -137,7 +128,7 @@ def links(fps: DataFrame, max_bits: int = 3, count: int = 2) -> DataFrame:
     table = _table(fps.select("fp"), pieces).withColumnRenamed("fp", "t")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("t"))) <= max_bits
     once = ~_same_parity("own", "v") | (F.col("fp") < F.col("t"))
-    pairs = _lookups(fps.select("fp"), pieces, width, radius).join(table, ["s", "v"]).where(near & (F.col("fp") != F.col("t")) & once)
+    pairs = _lookups(fps.select("fp"), pieces, width, radius).join(table.hint("merge"), ["s", "v"]).where(near & (F.col("fp") != F.col("t")) & once)
     return pairs.select(F.greatest("fp", "t").alias("a"), F.least("fp", "t").alias("b"))
 
 
@@ -184,20 +175,52 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def common_shingles(docs: DataFrame, size: int, seed: int) -> np.ndarray:
+    """Shingles that a sample of the distinct texts (one in a hundred, more of a small corpus) holds often, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_sets(texts, size, seed)).view(np.int64))], ["h"])
+
+    step = min(max(docs.count() // 5000, 1), 100)
+    sample = docs.select(F.col("text").cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).dropDuplicates()
+    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    found = counts.orderBy(F.desc("count"), "h").limit(MAX_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
+    return found.view(np.uint64)[::-1].copy()
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 shingles: those that aren't common by their hash, then the common ones by rank."""
+    n = len(hashes) // 5 + 1
+    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+    known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+    rare = hashes[~known]
+    if len(rare) >= n:
+        return rare[:n]
+    return np.concatenate((rare, hashes[known][np.argsort(rank[at[known]])]))[:n]
+
+
 def described(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
-    """For every row doc_id, text_key, the 128-bit name of its shingle set (v, w), its size n, fingerprint fp and parity sketch."""
-    names = ["doc_id", "text_key", "v", "w", "n", "fp", "sketch"]
-    lists = lambda arrays: pa.array([a.tolist() for a in arrays], pa.list_(pa.int64()))
+    """For every row doc_id, text_key, the 128-bit name of its shingle set (v, w), its size n, fingerprint fp, parity sketch and prefix."""
+    names = ["doc_id", "text_key", "v", "w", "n", "fp", "sketch", "prefix"]
+    ranked = common_shingles(docs, size, seed)
+    order = np.argsort(ranked)
+    common = docs.sparkSession.sparkContext.broadcast((ranked[order], order))  # MAX_COMMON of them at most
+
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             sets = _sets(texts, size, seed)
             named = np.frombuffer(b"".join([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), np.int64).reshape(-1, 2)
             columns = [part.column("doc_id"), pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, lists([majority(s, LANES) for s in sets]), lists([_sketch(s) for s in sets])], names)
+            arrays = [majority(s, LANES) for s in sets], [_sketch(s) for s in sets], [_prefix(s, *common.value).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([*columns, *map(lists, arrays)], names)
 
     base = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")
-    return base.mapInArrow(run, "doc_id long, text_key string, v long, w long, n long, fp array<long>, sketch array<long>")
+    return base.mapInArrow(run, "doc_id long, text_key string, v long, w long, n long, fp array<long>, sketch array<long>, prefix array<long>")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -206,36 +229,47 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, bits: the pairs (a, b) of set names that may be similar, by sizes, complete distance and sketches.
+    """a, b, bits (distance of the complete fingerprints): the pairs (a, b) of set names that may be similar.
 
     9 |A xor B| <= |A| + |B| is Jaccard similarity 4/5 or more, and of two sketches no more bits differ than of two sets shingles.
     """
+    pairs = small(materialize(pairs))
     for end in "ab":
         own = classes.select(F.col("v").alias(end), F.col("n").alias(f"n{end}"), F.col("fp").alias(f"fp{end}"), F.col("sketch").alias(f"sketch{end}"))
         pairs = pairs.join(own, end)
     alike = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * _distance("sketcha", "sketchb") <= F.col("na") + F.col("nb"))
-    return pairs.select("a", "b", _distance("fpa", "fpb").alias("bits"), alike.alias("alike")).where(F.col("alike") & (F.col("bits") <= most_bits(64 * LANES))).drop("alike")
+    return pairs.where(alike).select("a", "b", _distance("fpa", "fpb").alias("bits"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, seed: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, seed: int) -> DataFrame:
     """The pairs (a, b) of set names that have Jaccard similarity 4/5 or more, by their complete texts."""
-    asked = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    one = rows.join(asked, "v", "left_semi").groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
-    one = one.select("v", F.col("k.doc_id").alias("id"), F.col("k.text_key").alias("key"))
+    asked = small(materialize(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()))
+    one = small(materialize(classes.join(asked, "v").select("v", F.col("k.doc_id").alias("id"), F.col("k.text_key").alias("key"))))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     same = base["doc_id"].eqNullSafe(one["id"]) & (text_key(base["text"]) == one["key"])
     texts = materialize(base.join(one, same).select("v", "text").dropDuplicates(["v"]))
-    joined = skew_join(pairs.select("a", "b"), texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
-    joined = joined.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    joined = skew_join(pairs.select("a", "b"), texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
+    # comparing takes more time than its bytes would tell, so the number of tasks follows the number of pairs
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 5000)
+    joined = joined.repartition(tasks, "a").join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def sets(name: int, text: bytes) -> np.ndarray:
+            if (found := known.get(name)) is None:
+                (found,) = _sets([text], size, seed)
+                if len(text) <= REMEMBERED_BYTES:
+                    if len(known) >= REMEMBERED_SETS:
+                        known.clear()
+                    known[name] = found
+            return found
+
         for part, first in chunks(batches, "ta"):
-            second = [x or b"" for x in part.column("tb").to_pylist()]
             ok = []
-            for one_text, other in zip(first, second, strict=True):
-                x, y = _sets([one_text, other], size, seed)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(9 * both >= 4 * (len(x) + len(y)))
+            for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), first, texts_of(part.column("tb")), strict=True):
+                x, y = sets(a, x), sets(b, y)
+                ok.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     found = materialize(joined.mapInArrow(run, "a long, b long"))
@@ -255,25 +289,31 @@ def _hubs(table: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
     """doc_id, text_key and component for every row: two longs, equal for all rows that links of similarity 4/5 or more join."""
     rows = materialize(described(docs, size, seed))
-    classes = materialize(rows.where("n > 0").select("v", "n", "fp", "sketch").dropDuplicates(["v"]))
-    pieces = [p for k in range(LANES) for p in segments(F.get("fp", F.lit(k)), PER_LANE, WIDTH)]
+    own = rows.where("n > 0")
+    first = [F.first(c).alias(c) for c in ("n", "fp", "sketch")]
+    classes = materialize(own.groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("k"), *first))
+    pieces = [p for k in range(LANES) for p in segments(F.get("fp", F.lit(k)), 1, WIDTH)]
     table = _table(classes.select("v", "fp"), pieces).toDF("v", "fp", "s", "p").drop("fp")
-    near = _near(_hubs(table), classes).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
-    first = _verified(materialize(near), docs, rows, size, seed)
-    roots = components(first)
-    held = classes.join(roots, classes["v"] == roots["id"], "left").select(classes["v"].alias("a"), F.get("fp", F.lit(0)).alias("lane"), "fp", F.coalesce("root", "v").alias("root"))
-    held = materialize(held)
-    own, other = (_table, lambda r, p: _lookups(r, p, WIDTH, RADIUS))
-    left = other(held, pieces).select("a", "lane", "root", "s", "own", "v")
-    right = own(held, pieces).select(F.col("a").alias("b"), F.col("lane").alias("olane"), F.col("root").alias("oroot"), "s", "v")
-    once = ~_same_parity("own", "v") | (F.col("a") < F.col("b"))
-    close = F.bit_count(F.col("lane").bitwiseXOR(F.col("olane"))) <= most_bits(64)
-    met = left.join(right, ["s", "v"]).where((F.col("root") != F.col("oroot")) & once & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = _verified(materialize(_near(met, classes).select("a", "b")), docs, rows, size, seed)
-    roots = components(first.union(second))
-    labelled = rows.join(roots, rows["v"] == roots["id"], "left")
+    hubs = _near(_hubs(table), classes).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
+    dense = _verified(materialize(hubs), docs, classes, size, seed)
+    roots = components(dense)
+    prefixes = own.groupBy("v").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    labelled = prefixes.join(small(materialize(roots)), F.col("v") == F.col("id"), "left").withColumn("root", F.coalesce("root", "v"))
+    index = labelled.select("v", "n", "root", F.posexplode("prefix").alias("i", "h")).repartition("h")
+    a, b = (index.select("h", *[F.col(c).alias(end + c) for c in ("v", "n", "i", "root")]) for end in "ab")
+    alike = 5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")
+    met = a.join(b.hint("merge"), "h").where((F.col("av") < F.col("bv")) & (F.col("aroot") != F.col("broot")) & alike)
+    met = met.groupBy(F.col("av").alias("a"), F.col("bv").alias("b")).agg(F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("an", "bn", "ai", "bi")])
+    # 9 |A and B| >= 4 (|A| + |B|): from the first common shingle on, no more can be common than either set has
+    # left; and in the prefix that ends first, all that aren't shared are the set's own, of which it has few
+    room = 9 * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= 4 * (F.col("an") + F.col("bn"))
+    spare = lambda n: 9 * (F.floor(F.col(n) / 5) + 1 - F.col("c")) <= 5 * F.col(n) - 4 * F.col("bn" if n == "an" else "an")
+    met = met.where(room & (spare("an") | spare("bn"))).select("a", "b")
+    rest = _verified(materialize(_near(met, classes).select("a", "b")), docs, classes, size, seed)
+    roots = components(dense.union(rest))
+    joined = rows.select("doc_id", "text_key", "v", "w").join(roots, rows["v"] == roots["id"], "left")
     # texts that link to none are told apart by all 128 bits of the name
-    return labelled.select("doc_id", "text_key", F.coalesce("root", "v").alias("component"), F.when(F.col("root").isNull(), F.col("w")).alias("component2"))
+    return joined.select("doc_id", "text_key", F.coalesce("root", "v").alias("component"), F.when(F.col("root").isNull(), F.col("w")).alias("component2"))
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
