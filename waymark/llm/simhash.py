@@ -10,7 +10,7 @@ make pairs.  Links become groups by star contraction (components.py).
 Two uses.  `near_duplicates` takes one lane and says which fingerprints lie within `max_bits`, all of them:
 with two segments one lies within max_bits // 2.  `similar` finds all pairs of texts whose shingle sets have
 Jaccard similarity 4/5 or more.  There about 15 of 100 bits differ, so fingerprints alone can't tell: they
-join the dense groups first (eight lanes with a segment of 32 bits each, every text to the most met
+join the dense groups first (eight lanes with two segments of 20 bits each, every text to the most met
 fingerprint of its segments, verified on the complete sets), and an exact prefix filter finds what is left: read in one order,
 two sets of similarity 4/5 share a shingle among their first n // 5 + 1.  Pairs within a group that is joined
 already are not looked at, and every pair is verified on its complete sets.  The order doesn't matter for
@@ -41,8 +41,8 @@ from .components import components
 from .wordbuf import BY_SPACE_LOWER, Words, chunks, mix, texts_of
 
 _SET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
-#: What `similar` takes: words of a shingle, lanes of 64 bits, bits of the one segment of a lane.
-SHINGLE, LANES, WIDTH = 5, 8, 32
+#: What `similar` takes: words of a shingle, lanes of 64 bits, segments a lane, bits of a segment.
+SHINGLE, LANES, PER_LANE, WIDTH = 5, 8, 2, 20
 #: Shingles named as common at most (they only order the others), and how often the sample must hold them.
 MAX_COMMON, OFTEN = 300_000, 3
 #: Shingle sets that a task remembers while it compares texts, and the bytes of a text from which on it doesn't.
@@ -292,7 +292,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
     own = rows.where("n > 0")
     first = [F.first(c).alias(c) for c in ("n", "fp", "sketch")]
     classes = materialize(own.groupBy("v").agg(F.min(F.struct("doc_id", "text_key")).alias("k"), *first))
-    pieces = [p for k in range(LANES) for p in segments(F.get("fp", F.lit(k)), 1, WIDTH)]
+    pieces = [p for k in range(LANES) for p in segments(F.get("fp", F.lit(k)), PER_LANE, WIDTH)]
     table = _table(classes.select("v", "fp"), pieces).toDF("v", "fp", "s", "p").drop("fp")
     hubs = _near(_hubs(table), classes).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
     dense = _verified(materialize(hubs), docs, classes, size, seed)
@@ -325,7 +325,7 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFra
     i, k, s = fresh(docs, "id", "key", "stays")
     same = (keys["component"] == least["c"]) & keys["component2"].eqNullSafe(least["c2"])
     marks = keys.join(least, same).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), stays.alias(s), "n").where(f"n > 1 or not {s}").drop("n")
-    judged = docs.join(materialize(marks), docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (text_key(docs["text"]) == F.col(k)), "left")
+    judged = docs.join(small(materialize(marks)), docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (text_key(docs["text"]) == F.col(k)), "left")
     once = judged.where(F.col(s).isNull()).drop(i, k, s)
     repeated = judged.where(s).dropDuplicates([i, k]).drop(i, k, s)
     return once.union(repeated)
