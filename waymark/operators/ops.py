@@ -71,17 +71,33 @@ def walk_lengths(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.withColumn("_m", step).groupBy(key).agg(half_up(F.coalesce(F.sum("_m"), F.lit(0.0)), 2).alias("metres"), F.count("*").alias("n_fixes"))
 
 
-def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs of left (lat, lng) and right (r_lat, r_lng) less than `metres` apart, by a join of grid cells.
+def lng_size(band: Column, metres: float) -> Column:
+    """Side of a longitude cell, in metres at the equator, that is `metres` or more anywhere in a band of latitude.
 
-    A right row is put into the nine cells round its own, whose sides are at least `metres`; each pair meets once.
+    A band is `metres` * 1.01 high; its side follows the latitude farthest from the equator, up to 89.99 degrees.
     """
-    size_lat, size_lng = metres * 1.01, metres * 1.6  # a degree of longitude is shorter; up to 50 degrees of latitude
-    a = left.withColumn("_x", cell(F.col("lat"), LAT_METRES, size_lat)).withColumn("_y", cell(F.col("lng"), LNG_METRES, size_lng))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = right.select("*", around.alias("_o")).withColumn("_x", cell(F.col("r_lat"), LAT_METRES, size_lat) + F.col("_o.i")).withColumn("_y", cell(F.col("r_lng"), LNG_METRES, size_lng) + F.col("_o.j")).drop("_o")
+    farthest = F.greatest(F.abs(band), F.abs(band + 1)) * (metres * 1.01 / LAT_METRES)
+    return F.lit(metres * 1.01) / F.cos(F.radians(F.least(farthest, F.lit(89.99))))
+
+
+def lng_cell(lng: Column, band: Column, metres: float) -> Column:
+    return F.floor(lng * LNG_METRES / lng_size(band, metres)).cast("long")
+
+
+def within(left: DataFrame, right: DataFrame, metres: float, inclusive: bool = False) -> DataFrame:
+    """Pairs of left (lat, lng) and right (r_lat, r_lng) less than `metres` apart (or just so far), by a join of grid cells.
+
+    A right row is put into its own band of latitude and the two beside it, and there into its cell of that
+    band's grid and the two beside it; each pair meets once.  Rows without a position meet none.
+    """
+    lat_of = lambda x: cell(x, LAT_METRES, metres * 1.01)
+    a = left.withColumn("_x", lat_of(F.col("lat"))).withColumn("_y", lng_cell(F.col("lng"), F.col("_x"), metres))
+    beside = lambda x: F.explode(F.array(*[x + k for k in (-1, 0, 1)]))
+    b = right.withColumn("_x", beside(lat_of(F.col("r_lat"))))
+    b = b.withColumn("_y", beside(lng_cell(F.col("r_lng"), F.col("_x"), metres)))
     joined = a.join(b, ["_x", "_y"]).drop("_x", "_y")
-    return joined.withColumn("metres", flat_metres(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))).where(F.col("metres") < metres)
+    far = joined.withColumn("metres", flat_metres(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
+    return far.where(F.col("metres") <= metres if inclusive else F.col("metres") < metres)
 
 
 def independent(df: DataFrame, subject: list[str], witness: str, quorum: int) -> DataFrame:

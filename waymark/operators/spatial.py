@@ -74,11 +74,14 @@ def to_segment(lat: Column, lng: Column, a: Column, b: Column) -> Column:
 
 def nearest_line(points: DataFrame, parts: DataFrame, key: str, metres: float) -> DataFrame:
     """key and the metres to the nearest segment (way, part, a, b) within `metres`; segments meet points in cells round their bounds."""
-    size = metres * 1.01
-    lat_of, lng_of = (lambda x: cell(x, LAT_METRES, size)), (lambda x: cell(x, LNG_METRES, size * 1.6))
+    from .ops import lng_cell
+
+    lat_of = lambda x: cell(x, LAT_METRES, metres * 1.01)
+    lng_of = lambda x: lng_cell(x, F.col("_x"), metres)  # noqa: E731  cells of the band's own size
     spread = lambda f, k: F.sequence(f(F.least(F.col("a")[k], F.col("b")[k])) - 1, f(F.greatest(F.col("a")[k], F.col("b")[k])) + 1)
     laid = parts.withColumn("_x", F.explode(spread(lat_of, "lat"))).withColumn("_y", F.explode(spread(lng_of, "lng")))
-    met = points.select(key, "lat", "lng", lat_of(F.col("lat")).alias("_x"), lng_of(F.col("lng")).alias("_y")).join(laid, ["_x", "_y"])
+    placed = points.select(key, "lat", "lng", lat_of(F.col("lat")).alias("_x"))
+    met = placed.withColumn("_y", lng_of(F.col("lng"))).join(laid, ["_x", "_y"])
     far = met.withColumn("metres", to_segment(F.col("lat"), F.col("lng"), F.col("a"), F.col("b"))).where(F.col("metres") <= metres)
     return far.groupBy(key).agg(F.min(F.struct("metres", "way", "part")).alias("n")).select(key, "n.way", "n.part", "n.metres")
 

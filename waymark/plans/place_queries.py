@@ -111,28 +111,6 @@ def ride_status(spark, sf):
     return spark.range(50).withColumnRenamed("id", "ride").join(last, "ride", "left").select("ride", F.coalesce(live, F.lit("no report")).alias("live"))
 
 
-_LADDER = [(0, "visitor"), (200, "scout"), (600, "guide"), (1500, "ranger"), (4000, "warden")]
-
-
-@_query(_with(f=V.FIX) + ", x AS (SELECT device, count(*) * 10 AS xp FROM f GROUP BY device), l(floor_xp, title) AS (VALUES " + ", ".join(map(str, _LADDER)) + ") SELECT device, xp, arg_max(title, floor_xp) AS title, CAST(max(floor_xp) AS BIGINT) AS floor_xp FROM x JOIN l ON floor_xp <= xp GROUP BY device, xp")
-def rank_ladder(spark, sf):
-    xp = _view(spark, sf, V.FIX).groupBy("device").agg((F.count("*") * 10).alias("xp"))
-    title, floor = F.lit(None).cast("string"), F.lit(0).cast("long")
-    for least, name in _LADDER:
-        title, floor = F.when(F.col("xp") >= least, name).otherwise(title), F.when(F.col("xp") >= least, F.lit(least).cast("long")).otherwise(floor)
-    return xp.select("device", "xp", title.alias("title"), floor.alias("floor_xp"))
-
-
-@_query(_with(c=V.CONTRIBUTION) + """, k AS (SELECT author, place, kind, id, CAST(floor(ms / 86400000) AS BIGINT) AS day, row_number() OVER (PARTITION BY author, kind, place ORDER BY id) AS a FROM c WHERE status = 'accepted'),
-d AS (SELECT *, row_number() OVER (PARTITION BY author, day ORDER BY id) AS b FROM k WHERE a = 1)
-SELECT author, CAST(sum(10 + CASE WHEN b = 1 THEN 5 ELSE 0 END) AS BIGINT) AS xp, count(*) AS n_scored FROM d GROUP BY author""")
-def score_first_per_key(spark, sf):
-    first = O.latest(_view(spark, sf, V.CONTRIBUTION).where("status = 'accepted'"), ["author", "kind", "place"], [F.asc("id")])
-    day = first.withColumn("day", F.floor(F.col("ms") / 86400000).cast("long"))
-    numbered = day.withColumn("b", F.row_number().over(O.W.partitionBy("author", "day").orderBy("id")))
-    return numbered.groupBy("author").agg(F.sum(F.when(F.col("b") == 1, 15).otherwise(10)).cast("long").alias("xp"), F.count("*").alias("n_scored"))
-
-
 @_query(_with(q=V.PLACE) + "SELECT place, name FROM q WHERE regexp_matches(lower(name), '\\bwid') OR contains(lower(category), 'econ')")
 def search_places(spark, sf):
     return _view(spark, sf, V.PLACE).where(F.lower("name").rlike(r"\bwid") | F.contains(F.lower("category"), F.lit("econ"))).select("place", "name")
