@@ -1,10 +1,10 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment; DataFrame functions only.
 
 Templates and texts become lower-case words `[a-z0-9]+` and five-word shingles (a shorter template is one
-shingle).  For each template length n, windows of n + s words start every s words (s is an eighth of n), so
-some window holds a whole occurrence and nearly nothing else: at the containment asked for, its Jaccard
-similarity to the template is at least 0.4, and 24 bands of one MinHash each miss it with a probability
-below 1e-5.  Only windows with an anchor word are hashed: so many of a
+shingle).  For each template length n, windows of n + s words start every s words (s is an eighth of n; long
+templates of about one length share the largest n of them), so some window holds a whole occurrence and not
+much else: at the containment asked for, its Jaccard similarity to the template is at least 0.4, and 24 bands
+of one MinHash each miss it with a probability below 1e-5.  Only windows with an anchor word are hashed: so many of a
 template's shingles have one that a window without can't hold the containment asked for.  A window and a template that meet in a band are then
 compared on their shingles.
 
@@ -27,18 +27,65 @@ from .common import let
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 24
 #: Characters of all template shingles up to which the templates are broadcast.
 BROADCAST_CHARS = 4 << 20
-#: Notices to find: (license, text).
+#: Words of a template from which on it shares its windows with templates of about its length.
+SHARED_FROM = 60
+# Public licence wording to find, as (license, text): short statements, notices and whole texts.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("mit", "Released under the MIT License"),
+    ("mit-terms", "Released under the terms of the MIT License"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "bsd-3-text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "isc-text",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "apache-2.0-notice",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "gpl-3.0-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    (
+        "unlicense-text",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ),
 ]
 
 
+def window_sizes(lengths: list[int]) -> dict[int, int]:
+    """The window size for each template length: its own if short; long ones share the largest within half as much again."""
+    out: dict[int, int] = {}
+    for n in sorted(lengths, reverse=True):
+        near = [s for s in out.values() if n >= SHARED_FROM and 2 * s <= 3 * n]
+        out[n] = max(near, default=n)
+    return out
+
+
 def words_in(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.translate({c: c + 32 for c in range(65, 91)}))
 
@@ -76,7 +123,8 @@ def _signature(shingles: Column, bands: int) -> Column:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """doc_id, matches (array of license, containment, start word) for every row of docs."""
     spark = docs.sparkSession
-    known = [(name, len(words), shingles_in(words)) for name, text in templates if (words := words_in(text))]
+    size_of = window_sizes([len(words) for _, text in templates if (words := words_in(text))])
+    known = [(name, size_of[len(words)], shingles_in(words)) for name, text in templates if (words := words_in(text))]
     anchors = anchors_of(templates, containment)
     sizes = sorted({n for _, n, _ in known})
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())

@@ -61,6 +61,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_simhash, op4_licenses, op5_urls, op6_tokens, op7_quality_rules, op8_substring_dedup, op9_classifier, op10_chat)}
 
+_WORDS = [(name, license_scan.words_in(text)) for name, text in license_scan.TEMPLATES]
+_SIZES = license_scan.window_sizes([len(words) for _, words in _WORDS])
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
@@ -75,10 +78,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)""",
     "op4_licenses": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
-t(license, words) AS (VALUES """
-    + ", ".join(f"('{name}', '{' '.join(license_scan.words_in(text))}')" for name, text in license_scan.TEMPLATES)
+t(license, words, n) AS (VALUES """
+    + ", ".join(f"('{name}', '{' '.join(words)}', {_SIZES[len(words)]})" for name, words in _WORDS)
     + r"""),
-ts AS (SELECT license, len(string_split(words, ' ')) AS n, s FROM (SELECT license, words, unnest(list_transform(range(1, greatest(2, len(string_split(words, ' ')) - 3)), lambda i: array_to_string(string_split(words, ' ')[i : i + 4], ' '))) AS s FROM t)),
+ts AS (SELECT license, n, s FROM (SELECT license, words, n, unnest(list_transform(range(1, greatest(2, len(string_split(words, ' ')) - 3)), lambda i: array_to_string(string_split(words, ' ')[i : i + 4], ' '))) AS s FROM t)),
 tn AS (SELECT license, n, n + greatest(1, n // 8) AS size, greatest(1, n // 8) AS step, count(DISTINCT s) AS k FROM ts GROUP BY ALL),
 ds AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i : i + 4], ' ') AS s FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS r(i) WHERE len(w) > 0),
 met AS (SELECT DISTINCT doc_id, license, s, i FROM ds JOIN (SELECT DISTINCT license, s FROM ts) USING (s)),
