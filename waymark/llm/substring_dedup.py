@@ -98,7 +98,7 @@ def _occurrences(size: int):
                 for i in np.flatnonzero(~new & ((did != did[begin]) | (t != t[begin]) | (u != u[begin]) | (q != q[begin]))).tolist():
                     j = int(begin[i])
                     copy[i] = words.joined(start[i], n[i]) == words.joined(start[j], n[j])
-                a[copy] = a[0]  # these meet no others
+                a[copy] = mix((did[:1] ^ t[:1]).view(np.uint64)).view(np.int64)[0]  # these meet no others: a task for each chunk
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, c, did, t, u.astype(np.int32), q.astype(np.int32), copy)], ["a", "c", *_ROW, "q", "copy"])
 
     return run
