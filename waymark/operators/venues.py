@@ -87,6 +87,26 @@ def nearby(reports: DataFrame, points: DataFrame, key: str, metres: float = 150.
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select(key, "place", "metres", "rank")
 
 
+def near_counts(points: DataFrame, places: DataFrame, witness: str, metres: float, inclusive: bool = False) -> DataFrame:
+    """place, n_near and n_devices: points near each place, and their different witnesses; places near none have no row.
+
+    Positions meet, not rows: points are counted and witnesses told apart by position before they are joined.
+    """
+    spots = places.select("r_lat", "r_lng").distinct()
+    seen = points.groupBy("lat", "lng", witness).agg(F.count("*").alias("_n"))
+    pairs = within(seen.select("lat", "lng").distinct(), spots, metres, inclusive)
+    found = pairs.join(seen, ["lat", "lng"]).groupBy("r_lat", "r_lng").agg(F.sum("_n").alias("n_near"), F.countDistinct(witness).alias("n_devices"))
+    return places.join(found, ["r_lat", "r_lng"]).select("place", "n_near", "n_devices")
+
+
+def best_near(points: DataFrame, places: DataFrame, key: str, metres: float, first: Column, k: int) -> DataFrame:
+    """key, place and rank: the k best places of each point, by `first` (a column of places), nearness and place; points at one position share them."""
+    near = within(points.select("lat", "lng").distinct(), places.withColumn("_first", first), metres)
+    order = W.partitionBy("lat", "lng").orderBy(F.desc("_first"), F.round("metres", 4), "place")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return points.join(ranked, ["lat", "lng"]).select(key, "place", "rank")
+
+
 def rank_progress(profiles: DataFrame, xp: str = "xp") -> DataFrame:
     """profiles with rank, floor, next_rank, to_go and fraction: the highest rung that xp reaches, and the way to the next."""
     n = F.greatest(F.lit(0), F.coalesce(F.col(xp), F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import ops as O
 from ..operators import spatial as S
+from ..operators import venues as U
 from . import views as V
 from .registry import ORACLES, QUERIES, query as _query, table as _table, view as _view, with_views as _with  # noqa: F401
 
@@ -67,17 +68,17 @@ def eligibility_matrix(spark, sf):
 _NEAR = "sqrt(pow((r_lat - lat) * 110540, 2) + pow((r_lng - lng) * 111320 * cos(radians(lat)), 2))"
 
 
-@_query(_with(f=V.FIX, q=V.PLACE) + f"SELECT seq, place, floor(round({_NEAR}, 4) * 100 + 0.5) / 100 AS metres FROM f JOIN q ON {_NEAR} < 75 WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY seq ORDER BY round({_NEAR}, 4), place) = 1")
+@_query(_with(f=V.FIX, q=V.PLACE) + f"SELECT seq, place, floor(round({_NEAR}, 4) * 100 + 0.5) / 100 AS metres FROM f JOIN q ON {_NEAR} < 75 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY round({_NEAR}, 4), place) = 1")
 def nearest_place(spark, sf):
-    fixes = _view(spark, sf, V.FIX).where("event_type = 'purchase'").select("seq", "lat", "lng")
+    fixes = _view(spark, sf, V.FIX).select("seq", "lat", "lng")
     places = _view(spark, sf, V.PLACE).select("place", "r_lat", "r_lng")
     return S.nearest(fixes, places, "seq", 75.0).select("seq", "place", X.half_up(F.col("metres"), 2).alias("metres"))
 
 
-@_query(_with(f=V.FIX, q=V.PLACE) + f"SELECT place, count(*) AS n_near, count(DISTINCT device) AS n_devices FROM f JOIN q ON {_NEAR} < 50 WHERE event_type = 'signup' GROUP BY place")
+@_query(_with(f=V.FIX, q=V.PLACE) + f"SELECT place, count(*) AS n_near, count(DISTINCT device) AS n_devices FROM f JOIN q ON {_NEAR} <= 50 GROUP BY place")
 def radius_members(spark, sf):
-    fixes = _view(spark, sf, V.FIX).where("event_type = 'signup'").select("device", "lat", "lng")
-    return O.within(fixes, _view(spark, sf, V.PLACE).select("place", "r_lat", "r_lng"), 50.0).groupBy("place").agg(F.count("*").alias("n_near"), F.countDistinct("device").alias("n_devices"))
+    fixes = _view(spark, sf, V.FIX).select("device", "lat", "lng")
+    return U.near_counts(fixes, _view(spark, sf, V.PLACE).select("place", "r_lat", "r_lng"), "device", 50.0, inclusive=True)
 
 
 @_query(_with(f=V.FIX) + "SELECT device, seq FROM f QUALIFY ms > coalesce(max(ms) OVER (PARTITION BY device ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)")

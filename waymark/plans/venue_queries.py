@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..operators import matching as M
 from ..operators import ops as O
 from ..operators import spatial as S
+from ..operators import venues as U
 from . import views as V
 from .registry import query, table, view, with_views
 
@@ -22,21 +23,21 @@ def areas(spark, sf):
     return view(spark, sf, V.AREA).select("area", "area_name", F.array(point(1, 0), point(0, 1), point(-1, 0), point(0, -1)).alias("ring"))
 
 
-def _fixes(spark, sf, kind):
-    return view(spark, sf, V.FIX).where(F.col("event_type") == kind).select("seq", "device", "ms", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+def _fixes(spark, sf):
+    return view(spark, sf, V.FIX).select("seq", "device", "ms", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
 
 
 _HELD = "abs(CAST(lat AS DOUBLE) - c_lat) + abs(CAST(lng AS DOUBLE) - c_lng) < r"
 
 
-@query(with_views(f=V.FIX, a=V.AREA) + f"SELECT seq, coalesce(arg_min(area_name, r), 'grounds') AS area_name FROM f LEFT JOIN a ON {_HELD} WHERE event_type = 'view' GROUP BY seq")
+@query(with_views(f=V.FIX, a=V.AREA) + f"SELECT seq, coalesce(arg_min(area_name, r), 'grounds') AS area_name FROM f LEFT JOIN a ON {_HELD} GROUP BY seq")
 def area_of_fix(spark, sf):
-    return S.smallest_area(_fixes(spark, sf, "view"), areas(spark, sf), "seq", "grounds").select("seq", "area_name")
+    return S.smallest_area(_fixes(spark, sf), areas(spark, sf), "seq", "grounds").select("seq", "area_name")
 
 
-@query(with_views(f=V.FIX, a=V.AREA) + f"SELECT area, count(*) AS n, count(DISTINCT device) AS devices, floor(avg(lat) * 1e6 + 0.5) / 1e6 AS mid_lat FROM f JOIN a ON {_HELD} WHERE event_type = 'click' GROUP BY area")
+@query(with_views(f=V.FIX, a=V.AREA) + f"SELECT area, count(*) AS n, count(DISTINCT device) AS devices, floor(avg(lat) * 1e6 + 0.5) / 1e6 AS mid_lat FROM f JOIN a ON {_HELD} GROUP BY area")
 def area_visits(spark, sf):
-    return S.containing(_fixes(spark, sf, "click"), areas(spark, sf)).groupBy("area").agg(F.count("*").alias("n"), F.countDistinct("device").alias("devices"), X.half_up(F.avg("lat"), 6).alias("mid_lat"))
+    return S.containing(_fixes(spark, sf), areas(spark, sf)).groupBy("area").agg(F.count("*").alias("n"), F.countDistinct("device").alias("devices"), X.half_up(F.avg("lat"), 6).alias("mid_lat"))
 
 
 @query(with_views(a=V.AREA) + "SELECT area, floor(2 * r * r * 110540 * 111320 * cos(radians(c_lat + r)) + 0.5) AS square_metres, floor((c_lat - r) * 1e5 + 0.5) / 1e5 AS south, floor((c_lng + r) * 1e5 + 0.5) / 1e5 AS east FROM a")
@@ -55,20 +56,18 @@ def overlapping_areas(spark, sf):
 _NEAR = "sqrt(pow((r_lat - lat) * 110540, 2) + pow((r_lng - lng) * 111320 * cos(radians(lat)), 2))"
 
 
-@query(with_views(f=V.FIX, q=V.PLACE) + f"SELECT seq, place, row_number() OVER (PARTITION BY seq ORDER BY round({_NEAR}, 4), place) AS rank FROM f JOIN q ON {_NEAR} < 60 WHERE event_type = 'purchase' QUALIFY rank <= 3")
+@query(with_views(f=V.FIX, q=V.PLACE) + f"SELECT seq, place, row_number() OVER (PARTITION BY seq ORDER BY round({_NEAR}, 4), place) AS rank FROM f JOIN q ON {_NEAR} < 60 QUALIFY rank <= 3")
 def nearest_three(spark, sf):
     places = view(spark, sf, V.PLACE).select("place", "r_lat", "r_lng")
-    return S.nearest_k(_fixes(spark, sf, "purchase"), places, "seq", 60.0, 3).select("seq", "place", "rank")
+    return S.nearest_k(_fixes(spark, sf), places, "seq", 60.0, 3).select("seq", "place", "rank")
 
 
 @query(with_views(f=V.FIX, q=V.PLACE, r=V.REPORT) + f""", l AS (SELECT ride, status FROM r QUALIFY row_number() OVER (PARTITION BY ride ORDER BY ms DESC, seq DESC) = 1)
-SELECT seq, place, row_number() OVER (PARTITION BY seq ORDER BY place % 7 = 0 DESC, round({_NEAR}, 4), place) AS rank FROM f JOIN q ON {_NEAR} < 80 LEFT JOIN l ON l.ride = place % 50 WHERE event_type = 'signup' AND coalesce(status, '') <> 'down' QUALIFY rank <= 2""")
+SELECT seq, place, row_number() OVER (PARTITION BY seq ORDER BY place % 7 = 0 DESC, round({_NEAR}, 4), place) AS rank FROM f JOIN q ON {_NEAR} < 80 LEFT JOIN l ON l.ride = place % 50 WHERE coalesce(status, '') <> 'down' QUALIFY rank <= 2""")
 def recommend_now(spark, sf):
     last = O.latest(view(spark, sf, V.REPORT), ["ride"], [F.desc("ms"), F.desc("seq")])
     open_places = view(spark, sf, V.PLACE).select("place", "r_lat", "r_lng").join(last.where("status = 'down'"), F.col("place") % 50 == F.col("ride"), "left_anti")
-    near = O.within(_fixes(spark, sf, "signup"), open_places, 80.0)
-    order = O.W.partitionBy("seq").orderBy(F.desc(F.col("place") % 7 == 0), F.round("metres", 4), "place")
-    return near.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("seq", "place", "rank")
+    return U.best_near(_fixes(spark, sf), open_places, "seq", 80.0, F.col("place") % 7 == 0, 2)
 
 
 _NORMAL = "regexp_replace(trim(regexp_replace(regexp_replace(lower(name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
