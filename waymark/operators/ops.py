@@ -127,9 +127,16 @@ def verdict(height: Column, with_adult: Column, lowest: Column, alone: Column, h
 
 
 def best_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, limit: int) -> DataFrame:
-    """Pairs of names (l_name, r_name) that share the blocking column, by similarity; each right name once."""
-    scored = left.join(right, block).withColumn("score", half_up(similarity(F.col("l_name"), F.col("r_name")), 6)).where(F.col("score") >= floor)
-    once = latest(scored, ["r_id"], [F.desc("score"), F.asc("l_id")])
+    """Pairs of names (l_name, r_name) that share the blocking column, by similarity; each right name once.
+
+    Equal names of a block are compared once, so what a block costs goes by its different names, not its rows.
+    Rows with a null name or block pair with none; of equal scores the least l_id wins, then the least r_id.
+    """
+    lefts = left.groupBy(block, "l_name").agg(F.min("l_id").alias("l_id"))
+    rights = right.select(block, "r_name").distinct()
+    scored = lefts.join(rights, block).withColumn("score", half_up(similarity(F.col("l_name"), F.col("r_name")), 6)).where(F.col("score") >= floor)
+    best = scored.groupBy(block, "r_name").agg(F.min(F.struct((-F.col("score")).alias("s"), "l_id", "l_name")).alias("b"))
+    once = right.join(best, [block, "r_name"]).withColumns({"score": -F.col("b.s"), "l_id": F.col("b.l_id"), "l_name": F.col("b.l_name")}).drop("b")
     return once.orderBy(F.desc("score"), "l_id", "r_id").limit(limit)
 
 

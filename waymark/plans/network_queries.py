@@ -34,12 +34,14 @@ def graph_routes(spark, sf):
     return graph.routes(_edges(spark, sf), ends, 2).select("venue", "origin", "target", X.half_up(F.col("metres"), 3).alias("metres"), F.size("path").alias("n_nodes"))
 
 
-@query("""WITH l AS (SELECT c_nationkey AS party, c_custkey AS member, p_partkey AS candidate, abs(c_custkey * 37 % 500 - p_partkey * 53 % 500) AS metres FROM customer JOIN part ON p_partkey % 25 = c_nationkey AND p_size = 7), s AS (SELECT party, candidate, max(metres) AS longest, CAST(sum(metres) AS BIGINT) AS total FROM l GROUP BY 1, 2)
+@query("""WITH l AS (SELECT c_nationkey AS party, c_custkey AS member, p_partkey AS candidate, abs(c_custkey * 37 % 500 - p_partkey * 53 % 500) AS metres FROM customer JOIN part ON p_partkey % 25 = c_nationkey), s AS (SELECT party, candidate, max(metres) AS longest, CAST(sum(metres) AS BIGINT) AS total FROM l GROUP BY 1, 2)
 SELECT party, candidate, longest, total FROM s QUALIFY row_number() OVER (PARTITION BY party ORDER BY longest, total, candidate) = 1""")
 def meeting_points(spark, sf):
-    people, places = table(spark, sf, "customer"), table(spark, sf, "part").where("p_size = 7")
-    legs = people.join(places, F.col("p_partkey") % 25 == F.col("c_nationkey")).select(F.col("c_nationkey").alias("party"), F.col("c_custkey").alias("member"), F.col("p_partkey").alias("candidate"), F.abs(F.col("c_custkey") * 37 % 500 - F.col("p_partkey") * 53 % 500).alias("metres"))
-    return graph.meeting_point(legs)
+    """Positions meet instead of rows: members of one position share a leg, and of candidates at one position the least wins."""
+    people = table(spark, sf, "customer").select(F.col("c_nationkey").alias("party"), (F.col("c_custkey") * 37 % 500).alias("member"))
+    places = table(spark, sf, "part").select((F.col("p_partkey") % 25).alias("party"), (F.col("p_partkey") * 53 % 500).alias("at"), "p_partkey")
+    legs = people.groupBy("party", "member").agg(F.count("*").alias("n")).join(places.groupBy("party", "at").agg(F.min("p_partkey").alias("candidate")), "party")
+    return graph.meeting_point(legs.withColumn("metres", F.abs(F.col("member") - F.col("at"))), F.col("n"))
 
 
 _SLOPES = """, s AS (SELECT *, coalesce((coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / nullif((coalesce(lead(col) OVER x, col) - coalesce(lag(col) OVER x, col)) * 10.0, 0), 0) AS dx, -coalesce((coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y, z)) / nullif((coalesce(lead(row) OVER y, row) - coalesce(lag(row) OVER y, row)) * 10.0, 0), 0) AS dy FROM g WINDOW x AS (PARTITION BY venue, row ORDER BY col), y AS (PARTITION BY venue, col ORDER BY row))"""
@@ -50,9 +52,9 @@ def hillshade(spark, sf):
     return raster.hillshade(view(spark, sf, V.GRID), 10.0).select("venue", "row", "col", X.half_up(F.col("shade"), 6).alias("shade"))
 
 
-@query(with_views(f=V.FIX, g=V.GRID) + ", p AS (SELECT seq, 0 AS venue, (seq % 67) / 4.0 AS x, (seq % 23) / 8.0 AS y FROM f WHERE event_type = 'view'), m AS (SELECT seq, z, (1 - abs(y - row)) * (1 - abs(x - col)) AS w FROM p JOIN g ON g.venue = p.venue AND row IN (floor(y), floor(y) + 1) AND col IN (floor(x), floor(x) + 1)) SELECT seq, floor(sum(z * w) / nullif(sum(w), 0) * 1e4 + 0.5) / 1e4 AS z FROM m GROUP BY seq")
+@query(with_views(f=V.FIX, g=V.GRID) + ", p AS (SELECT seq, 0 AS venue, (seq % 67) / 4.0 AS x, (seq % 23) / 8.0 AS y FROM f), m AS (SELECT seq, z, (1 - abs(y - row)) * (1 - abs(x - col)) AS w FROM p JOIN g ON g.venue = p.venue AND row IN (floor(y), floor(y) + 1) AND col IN (floor(x), floor(x) + 1)) SELECT seq, floor(sum(z * w) / nullif(sum(w), 0) * 1e4 + 0.5) / 1e4 AS z FROM m GROUP BY seq")
 def terrain_samples(spark, sf):
-    points = view(spark, sf, V.FIX).where("event_type = 'view'").selectExpr("seq", "0 as venue", "cast((seq % 67) / 4.0 as double) x", "cast((seq % 23) / 8.0 as double) y")
+    points = view(spark, sf, V.FIX).selectExpr("seq", "0 as venue", "cast((seq % 67) / 4.0 as double) x", "cast((seq % 23) / 8.0 as double) y")
     return raster.bilinear(points, view(spark, sf, V.GRID)).select("seq", X.half_up(F.col("z"), 4).alias("z"))
 
 
@@ -112,9 +114,9 @@ def bundle_plan(spark, sf):
     return tables.bundle_plan(part.where("p_size < 30").select("path", F.col("p_brand").alias("sha256")), wanted)
 
 
-@query(with_views(f=V.FIX) + "SELECT device, seq, '{\"type\":\"Feature\",\"properties\":{\"device\":' || device || ',\"seq\":' || seq || '},\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || (seq % 9 + 0.5)::DOUBLE || ',' || (seq % 7 + 0.25)::DOUBLE || ']}}' AS value FROM f WHERE event_type = 'signup'")
+@query(with_views(f=V.FIX) + "SELECT device, seq, '{\"type\":\"Feature\",\"properties\":{\"device\":' || device || ',\"seq\":' || seq || '},\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || (seq % 9 + 0.5)::DOUBLE || ',' || (seq % 7 + 0.25)::DOUBLE || ']}}' AS value FROM f")
 def geojson_features(spark, sf):
-    rows = view(spark, sf, V.FIX).where("event_type = 'signup'").withColumn("line", F.array(F.struct((F.col("seq") % 7 + 0.25).cast("double").alias("lat"), (F.col("seq") % 9 + 0.5).cast("double").alias("lng"))))
+    rows = view(spark, sf, V.FIX).withColumn("line", F.array(F.struct((F.col("seq") % 7 + 0.25).cast("double").alias("lat"), (F.col("seq") % 9 + 0.5).cast("double").alias("lng"))))
     return rows.select("device", "seq", tables.feature("line", "device", "seq").alias("value"))
 
 

@@ -56,13 +56,14 @@ def stale_features(spark, sf):
     return _view(spark, sf, V.CLAIM).groupBy("feature_id").agg(F.max("shipped").alias("m")).select("feature_id", F.date_format("m", "yyyy-MM-dd").alias("newest"), (F.col("m") < F.expr("timestamp_ntz'1998-01-01'")).alias("stale"))
 
 
-@_query(_with(p=V.PERSON, q=V.PLACE) + """, v AS (SELECT party, place, person, CASE WHEN height IS NULL THEN 'eligible' WHEN lowest IS NULL AND alone IS NULL AND highest IS NULL THEN 'unknown' WHEN height > highest THEN 'no' WHEN height < lowest THEN 'no' WHEN height < alone THEN CASE WHEN with_adult THEN 'companion' ELSE 'no' END ELSE 'eligible' END AS verdict FROM p JOIN q ON q.place % 25 = p.party AND p_size < 10)
+@_query(_with(p=V.PERSON, q=V.PLACE) + """, v AS (SELECT party, place, person, CASE WHEN height IS NULL THEN 'eligible' WHEN lowest IS NULL AND alone IS NULL AND highest IS NULL THEN 'unknown' WHEN height > highest THEN 'no' WHEN height < lowest THEN 'no' WHEN height < alone THEN CASE WHEN with_adult THEN 'companion' ELSE 'no' END ELSE 'eligible' END AS verdict FROM p JOIN q ON q.place % 25 = p.party)
 SELECT party, place, count(*) FILTER (verdict = 'no') AS n_no, count(*) FILTER (verdict = 'companion') AS n_companion, arg_min(verdict, CASE verdict WHEN 'no' THEN 0 WHEN 'companion' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END) AS strictest FROM v GROUP BY party, place""")
 def eligibility_matrix(spark, sf):
-    people, places = _view(spark, sf, V.PERSON), _view(spark, sf, V.PLACE).where("p_size < 10")
-    pairs = people.join(places, F.col("place") % 25 == F.col("party")).withColumn("verdict", O.verdict(F.col("height"), F.col("with_adult"), F.col("lowest"), F.col("alone"), F.col("highest")))
+    kinds = _view(spark, sf, V.PERSON).groupBy("party", "height", "with_adult").agg(F.count("*").alias("n"))  # a verdict knows no more of a person
+    pairs = kinds.join(_view(spark, sf, V.PLACE), F.col("place") % 25 == F.col("party")).withColumn("verdict", O.verdict(F.col("height"), F.col("with_adult"), F.col("lowest"), F.col("alone"), F.col("highest")))
+    _of = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0))
     rank = F.expr("case verdict when 'no' then 0 when 'companion' then 1 when 'unknown' then 2 else 3 end")
-    return pairs.groupBy("party", "place").agg(F.count_if(F.col("verdict") == "no").alias("n_no"), F.count_if(F.col("verdict") == "companion").alias("n_companion"), F.min_by("verdict", rank).alias("strictest"))
+    return pairs.groupBy("party", "place").agg(_of("no").alias("n_no"), _of("companion").alias("n_companion"), F.min_by("verdict", rank).alias("strictest"))
 
 
 _NEAR = "sqrt(pow((r_lat - lat) * 110540, 2) + pow((r_lng - lng) * 111320 * cos(radians(lat)), 2))"

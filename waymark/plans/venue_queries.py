@@ -73,26 +73,27 @@ def recommend_now(spark, sf):
 _NORMAL = "regexp_replace(trim(regexp_replace(regexp_replace(lower(name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
 
 
-@query(with_views(q=V.PLACE) + f""", n AS (SELECT place, category, p_size, {_NORMAL} AS k FROM q), p AS (SELECT a.place AS l_id, b.place AS r_id, a.k AS x, b.k AS y FROM n a JOIN n b USING (category) WHERE a.p_size = 1 AND b.p_size IN (2, 3)),
+@query(with_views(q=V.PLACE) + f""", n AS (SELECT place, category, p_size, {_NORMAL} AS k FROM q), p AS (SELECT a.place AS l_id, b.place AS r_id, a.k AS x, b.k AS y FROM n a JOIN n b USING (category) WHERE a.p_size % 2 = 1 AND b.p_size % 2 = 0),
 s AS (SELECT *, floor(CASE WHEN x = y THEN 1 WHEN contains(x, y) OR contains(y, x) THEN 0.92 ELSE greatest(0.85 * len(list_intersect(string_split(x, ' '), string_split(y, ' '))) / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))), 0.75 * (1 - levenshtein(x, y) / greatest(len(x), len(y)))) END * 1e6 + 0.5) / 1e6 AS score FROM p)
 SELECT l_id, r_id, score FROM (SELECT * FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY r_id ORDER BY score DESC, l_id) = 1) ORDER BY score DESC, l_id, r_id LIMIT 12""")
 def name_pairs(spark, sf):
+    """Two inventories, of odd and of even sizes: every place is in one of them."""
     names = view(spark, sf, V.PLACE).select("place", "category", "p_size", X.ride_name(F.col("name")).alias("k"))
-    left = names.where("p_size = 1").select(F.col("place").alias("l_id"), "category", F.col("k").alias("l_name"))
-    right = names.where("p_size in (2, 3)").select(F.col("place").alias("r_id"), "category", F.col("k").alias("r_name"))
+    left = names.where("p_size % 2 = 1").select(F.col("place").alias("l_id"), "category", F.col("k").alias("l_name"))
+    right = names.where("p_size % 2 = 0").select(F.col("place").alias("r_id"), "category", F.col("k").alias("r_name"))
     return O.best_pairs(left, right, "category", 0.4, 12).select("l_id", "r_id", "score")
 
 
-@query(with_views(q=V.PLACE) + ", l AS (SELECT DISTINCT category, lower(name) AS k FROM q WHERE p_size < 12), r AS (SELECT DISTINCT category, lower(name) AS k FROM q WHERE p_size > 40) SELECT category, k, CASE WHEN l.k IS NULL THEN 'right' WHEN r.k IS NULL THEN 'left' ELSE 'both' END AS side FROM l FULL JOIN r USING (category, k)")
+@query(with_views(q=V.PLACE) + ", l AS (SELECT DISTINCT category, lower(name) AS k FROM q WHERE p_size <= 30), r AS (SELECT DISTINCT category, lower(name) AS k FROM q WHERE p_size > 20) SELECT category, k, CASE WHEN l.k IS NULL THEN 'right' WHEN r.k IS NULL THEN 'left' ELSE 'both' END AS side FROM l FULL JOIN r USING (category, k)")
 def inventory_diff(spark, sf):
     names = view(spark, sf, V.PLACE).select("category", F.lower("name").alias("k"), "p_size")
-    return M.two_sided(names.where("p_size < 12"), names.where("p_size > 40"), ["category", "k"])
+    return M.two_sided(names.where("p_size <= 30"), names.where("p_size > 20"), ["category", "k"])
 
 
-@query(with_views(q=V.PLACE) + ", t AS (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size = 5 UNION SELECT lower(p_name) FROM part WHERE p_size = 9), w AS (SELECT term, place AS key, 0 AS way FROM t JOIN q ON term = CAST(place AS VARCHAR) UNION ALL SELECT term, place, 1 FROM t JOIN q ON term = lower(name) UNION ALL SELECT term, place, 2 FROM t JOIN q ON term = lower(category)) SELECT DISTINCT term, key FROM w QUALIFY way = min(way) OVER (PARTITION BY term)")
+@query(with_views(q=V.PLACE) + ", t AS (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT CAST(p_partkey AS VARCHAR) FROM part UNION SELECT lower(p_name) FROM part), w AS (SELECT term, place AS key, 0 AS way FROM t JOIN q ON term = CAST(place AS VARCHAR) UNION ALL SELECT term, place, 1 FROM t JOIN q ON term = lower(name) UNION ALL SELECT term, place, 2 FROM t JOIN q ON term = lower(category)) SELECT DISTINCT term, key FROM w QUALIFY way = min(way) OVER (PARTITION BY term)")
 def address_book(spark, sf):
     parts = table(spark, sf, "part")
-    terms = parts.select(F.lower("p_type").alias("term")).union(parts.where("p_size = 5").select(F.col("p_partkey").cast("string"))).union(parts.where("p_size = 9").select(F.lower("p_name"))).distinct()
+    terms = parts.select(F.lower("p_type").alias("term")).union(parts.select(F.col("p_partkey").cast("string"))).union(parts.select(F.lower("p_name"))).distinct()
     return M.address_book(terms, view(spark, sf, V.PLACE).select(F.col("place").alias("key"), "name", F.col("category").alias("alias")))
 
 
