@@ -5,7 +5,9 @@ import random
 import duckdb
 import pytest
 
-from waymark.operators import ops
+from pyspark.sql import functions as F
+
+from waymark.operators import graph, ops
 from waymark.plans import network_queries, place_queries, stream_queries, venue_queries  # noqa: F401
 from waymark.plans.registry import ORACLES, QUERIES
 
@@ -49,3 +51,19 @@ def test_thinning_keeps_distance_to_the_last_kept_fix(spark):
     rows = [("a", k, 39.0 + k * 0.00003, -84.0) for k in range(10)]
     kept = sorted(r.seq for r in ops.thinned(spark.createDataFrame(rows, "device string, seq long, lat double, lng double"), "device", "seq", 8.0).collect())
     assert kept == [0, 3, 6, 9]
+
+
+def test_best_pairs_compare_equal_names_once_and_keep_every_right_row(spark):
+    left = spark.createDataFrame([(5, "x", "tin mill"), (2, "x", "tin mill"), (3, "x", None), (4, None, "tin mill"), (6, "y", "tin mill")], "l_id int, category string, l_name string")
+    right = spark.createDataFrame([(7, "x", "tin mill"), (8, "x", "tin mill"), (9, "x", "mill tin old"), (1, "x", None), (10, "z", "tin mill")], "r_id int, category string, r_name string")
+    got = [(r.l_id, r.r_id) for r in ops.best_pairs(left, right, "category", 0.4, 10).select("l_id", "r_id").collect()]
+    assert got == [(2, 7), (2, 8), (2, 9)]
+    assert ops.best_pairs(left.limit(0), right, "category", 0.4, 10).count() == 0
+
+
+def test_meeting_point_of_folded_legs_equals_that_of_all_members(spark):
+    legs = [("p", m, c, abs(m % 3 * 4 - c)) for m in range(9) for c in range(8)]
+    every = graph.meeting_point(spark.createDataFrame(legs, "party string, member int, candidate int, metres int"))
+    folded = [("p", at, c, abs(at * 4 - c), 3) for at in range(3) for c in range(8)]
+    once = graph.meeting_point(spark.createDataFrame(folded, "party string, member int, candidate int, metres int, n int"), F.col("n"))
+    assert [tuple(r) for r in every.collect()] == [tuple(r) for r in once.collect()]
