@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_count, url_filter
+from . import chat_format, decontaminate, importance, language_mixture, license_scan, packing, periodic_runs, quality_classifier, quality_rules, simhash, substring_dedup, token_count, url_filter
 from .common import table
 
 #: Vocabulary that op6 counts with, by its name among the public tokenizers.
@@ -59,7 +59,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_conversations(chat_format.format_turns(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_simhash, op4_licenses, op5_urls, op6_tokens, op7_quality_rules, op8_substring_dedup, op9_classifier, op10_chat)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_simhash, op4_licenses, op5_urls, op6_tokens, op7_quality_rules, op8_substring_dedup, op9_classifier, op10_chat, op11_importance, op12_languages, op13_periodic_runs)}
 
 _WORDS = [(name, license_scan.words_in(text)) for name, text in license_scan.TEMPLATES]
 _SIZES = license_scan.window_sizes([len(words) for _, words in _WORDS])
@@ -96,4 +108,27 @@ r(action, h, p) AS (VALUES """
     + r""")
 SELECT page_id, host, path, arg_max(h || p, len(h || p)) AS rule, coalesce(arg_max(action, len(h || p)), 'allow') AS verdict
 FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path""",
+    "op11_importance": r"""
+WITH tab AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+split AS (
+  SELECT 1 AS own, doc_id AS id, text FROM documents UNION ALL
+  SELECT 2, CAST(row_number() OVER () AS BIGINT), text FROM benchmark),
+ws AS (SELECT own, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM split),
+f AS (
+  SELECT own, id, unnest(w) AS f FROM ws UNION ALL
+  SELECT own, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM ws),
+hex AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+bytes AS (SELECT f, list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i : i + 1] AS BIGINT))) AS b FROM hex),
+b AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(c // 256, crc[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+counts AS (SELECT bucket, count(*) FILTER (own = 1) AS s, count(*) FILTER (own = 2) AS t FROM f JOIN b USING (f) GROUP BY bucket),
+sums AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM counts),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS g FROM counts, sums),
+sized AS (SELECT id AS doc_id, len(w) AS n FROM ws WHERE own = 1),
+weighed AS (SELECT id AS doc_id, count(*) AS m, sum(g) AS g FROM f JOIN b USING (f) JOIN gain USING (bucket) WHERE own = 1 GROUP BY id),
+scored AS (
+  SELECT doc_id, n, CAST(coalesce(m, 0) AS BIGINT) AS n_features, CAST(coalesce((g - ((g % m) + m) % m) // m, 0) AS BIGINT) AS weight,
+    (CAST(CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296 AS u FROM sized LEFT JOIN weighed USING (doc_id)),
+final AS (SELECT doc_id, n, n_features, weight, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS k FROM final WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * k // 100 THEN r END AS rank FROM final LEFT JOIN ranked USING (doc_id)""",
 }
