@@ -328,3 +328,20 @@ def test_chat_round_trip(spark):
         assert r.n_turns == 4 and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert len(out) == 60
+
+
+def test_token_counts_of_code_and_of_every_joined_pair():
+    """Texts are cut only where no piece has both characters: all pairs that pieces have, underscores, source code, random texts."""
+    tokenizers, sentencepiece = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    file = tokenizers.path("piece_bpe_32k.model")
+    with open(file, "rb") as f:
+        counter = token_count.Counter(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=file)
+    rng = random.Random(1)
+    pieces, alphabet = list(counter.rank), "ab_ (){}[]*->.,;:#\n\t\"'/=+<>!?%&|\\é ß日本0129▁~`^@$"
+    with open(brute.__file__) as f, open(token_count.__file__) as g:
+        texts = [f.read(), g.read(), "snake_(x)", "__init__(self)", "x = my_*y", "_{i}", "foo_[0]", " a  b   c\n\n\t x", "▁x ▁ y", "_" * 3000, "-" * 3000]
+    texts += [a + b for a, b in counter.joined] + [f"x{a}{b}_" for a, b in counter.joined]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(10_000)]
+    texts += ["".join(rng.choice(pieces).replace("▁", " ") for _ in range(rng.randint(1, 6))) for _ in range(10_000)]
+    assert [t for t in texts if counter.count(t) != len(library.encode(t))] == []

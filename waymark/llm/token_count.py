@@ -3,8 +3,9 @@
 The text becomes symbols (characters, blanks as U+2581, one of them in front).  The adjacent pair whose
 union has the lowest rank in the vocabulary is merged again and again; the count is the number of symbols
 less the number of merges, and a character that the vocabulary lacks counts as its bytes.  No identifiers
-are made.  Merging is done unit by unit: a text is cut where no piece of the vocabulary joins the two
-characters, which cannot change the result, and the counts of short units are remembered (bounded).
+are made.  Merging is done unit by unit: a text is cut between two characters wherever no piece of the
+vocabulary has them side by side (pairs of all characters of all pieces), which cannot change the result as
+no merge reaches over such a place, and the counts of short units are remembered (bounded).
 
 Defined results: null and empty texts have no tokens and no bytes; repeated rows give a row each; an empty
 table gives an empty result; texts of any length are counted whole; other columns are dropped.
@@ -24,8 +25,6 @@ from pyspark.sql import DataFrame
 BLANK = "▁"
 #: Units longer than this are counted anew each time; at most so many shorter ones are remembered by a worker.
 REMEMBERED_CHARS, REMEMBERED_UNITS = 40, 1_000_000
-#: Marks tried as places to cut at; the underscore is a word character here.
-_CUTS = ".,!?;:|#$%&*<>()[]{}\"'/-\n"
 
 
 class Counter(dict):
@@ -41,21 +40,25 @@ class Counter(dict):
         self.rank = {piece: int(-model.get_score(i)) for i in plain for piece in (model.id_to_piece(i),)}
         if any(BLANK in piece.lstrip(BLANK) for piece in self.rank):
             raise ValueError("this vocabulary joins words; texts can't be cut at blanks")
-        # between a word character and a mark behind it texts can be cut as well, but for the few pairs that pieces have
-        found = {(a, b) for piece in self.rank for a, b in zip(piece, piece[1:], strict=False) if a.isalnum() and b in _CUTS}
-        cut = re.escape("".join(c for c in _CUTS if sum(b == c for _, b in found) <= 3))
-        odd = re.escape("".join({a for a, b in found}))
-        word, other = rf"[^\W{odd}]", rf"(?:[^\w{BLANK}]|[{odd}])" if odd else rf"[^\w{BLANK}]"
-        self.units = re.compile(rf"{BLANK}*{other}*{word}*(?:(?![{cut}]){other}+{word}*)*").findall
+        self.joined = {pair for piece in self.rank for pair in zip(piece, piece[1:], strict=False)}
+        sides = {c for pair in self.joined for c in pair}
+        lone = re.escape("".join(c for c in map(chr, range(128)) if c not in sides)) or BLANK
+        self.units = re.compile(rf"{BLANK}*[^{BLANK}{lone}]+|{BLANK}+|[{lone}]", re.DOTALL).findall
 
     def __missing__(self, unit: str) -> int:
-        n = self.merge(unit)
+        parts = self.parts(unit)
+        n = self.merge(unit) if len(parts) == 1 else sum(map(self.__getitem__, parts))
         if len(unit) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED_UNITS:
                 self.clear()
             self[unit] = n
         return n
 
+    def parts(self, unit: str) -> list[str]:
+        """The unit, cut between all characters that stand side by side in no piece."""
+        cuts = [i for i, pair in enumerate(zip(unit, unit[1:], strict=False), 1) if pair not in self.joined]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+
     def merge(self, unit: str) -> int:
         """Heap entries are rank and place in one integer; `ranks` has what each place's pair ranks now, so older entries show."""
         rank, symbols = self.rank.get, list(unit)
