@@ -42,6 +42,25 @@ def thin(metres: float) -> Step:
     return step
 
 
+def verdict(box: dict[str, float], metres: float, accuracy: float) -> Step:
+    """Why a fix is kept (first, moved) or not (manual, invalid, outside, accuracy, too-close)."""
+
+    def step(state, row):
+        if row["manual"]:
+            return state, "manual"
+        if not _located(row):
+            return state, "invalid"
+        if not (box["south"] < row["lat"] < box["north"] and box["west"] < row["lng"] < box["east"]):
+            return state, "outside"
+        if row["acc"] is not None and accuracy < row["acc"] < math.inf:
+            return state, "accuracy"
+        if state and _metres(*state, row["lat"], row["lng"]) < metres:
+            return state, "too-close"
+        return (row["lat"], row["lng"]), "moved" if state else "first"
+
+    return step
+
+
 def session_number(gap_ms: int) -> Step:
     """1 for the first session; a new one where time runs backwards or stands still for gap_ms."""
 

@@ -58,7 +58,8 @@ def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def change_runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Rows where value differs from the row before."""
-    from .ops import W
+    from .ops import W, fresh
 
+    (last,) = fresh(df, "value_before")
     before = F.lag(value).over(W.partitionBy(*keys).orderBy(order))
-    return df.withColumn("_before", before).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
+    return df.withColumn(last, before).where(~F.col(value).eqNullSafe(F.col(last))).drop(last)

@@ -12,17 +12,25 @@ from .folds import fold, thin
 EPHEMERAL = ["experience", "status", "queue_band", "ride_status"]
 
 
+def fresh(df: DataFrame, *names: str, beside: DataFrame | None = None) -> list[str]:
+    """The names, each with so many underscores in front that no column of df (or of beside) has it."""
+    taken = {c.lower() for c in [*df.columns, *(beside.columns if beside is not None else [])]}
+    return [next(n for k in range(len(taken) + 1) if (n := "_" * k + name).lower() not in taken) for name in names]
+
+
 def durable_accepted(contributions: DataFrame) -> DataFrame:
     return contributions.where((F.col("status") == "accepted") & (F.length("kind") > 0) & ~F.col("kind").isin(EPHEMERAL))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    return newest(df, keys, order, 1)
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    """The first n rows of each key in the given order; a null key is a key, and of equals any stays unless the order ends in a key."""
+    (rank,) = fresh(df, "rank_in_key")
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n).drop(rank)
 
 
 def sessions(fixes: DataFrame, key: str, ms: str, seq: str, gap_ms: int) -> DataFrame:
@@ -30,7 +38,8 @@ def sessions(fixes: DataFrame, key: str, ms: str, seq: str, gap_ms: int) -> Data
     w = W.partitionBy(key).orderBy(seq)
     dt = F.col(ms) - F.lag(ms).over(w)
     new = F.when(dt.isNull() | (dt < 0) | (dt >= gap_ms), 1).otherwise(0)
-    return fixes.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    (begins,) = fresh(fixes, "begins")
+    return fixes.withColumn(begins, new).withColumn("session", F.sum(begins).over(w.rowsBetween(W.unboundedPreceding, 0))).drop(begins)
 
 
 def cell_clusters(fixes: DataFrame, size: float) -> DataFrame:
@@ -43,7 +52,8 @@ def islands(df: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
     """Adds island: a number that grows where value changes within keys in order of seq."""
     w = W.partitionBy(*keys).orderBy(seq)
     changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & F.lag(seq).over(w).isNotNull(), 0).otherwise(1)
-    return df.withColumn("_c", changed).withColumn("island", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_c")
+    (begins,) = fresh(df, "begins")
+    return df.withColumn(begins, changed).withColumn("island", F.sum(begins).over(w.rowsBetween(W.unboundedPreceding, 0))).drop(begins)
 
 
 def dwells(df: DataFrame, keys: list[str], seq: str, ms: str, target: str, min_ms: int, min_samples: int) -> DataFrame:
@@ -56,7 +66,8 @@ def dwells(df: DataFrame, keys: list[str], seq: str, ms: str, target: str, min_m
 def monotone(df: DataFrame, key: str, arrival: str, ms: str) -> DataFrame:
     """Rows whose time is later than that of every row of the key that came before."""
     before = F.max(ms).over(W.partitionBy(key).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(ms) > F.col("_b"))).drop("_b")
+    (last,) = fresh(df, "last_before")
+    return df.withColumn(last, before).where(F.col(last).isNull() | (F.col(ms) > F.col(last))).drop(last)
 
 
 def rate_limited(df: DataFrame, key: str, ms: str, seq: str, window_ms: int, limit: int) -> DataFrame:
@@ -88,15 +99,21 @@ def within(left: DataFrame, right: DataFrame, metres: float, inclusive: bool = F
     """Pairs of left (lat, lng) and right (r_lat, r_lng) less than `metres` apart (or just so far), by a join of grid cells.
 
     A right row is put into its own band of latitude and the two beside it, and there into its cell of that
-    band's grid and the two beside it; each pair meets once.  Rows without a position meet none.
+    band's grid and the two beside it; each pair meets once.  Longitudes within reach of 180 degrees are entered
+    on the other side too.  Rows without a position meet none; the distance comes in the column `metres`, which
+    replaces one of that name; other columns of both sides stay.
     """
-    lat_of = lambda x: cell(x, LAT_METRES, metres * 1.01)
-    a = left.withColumn("_x", lat_of(F.col("lat"))).withColumn("_y", lng_cell(F.col("lng"), F.col("_x"), metres))
-    beside = lambda x: F.explode(F.array(*[x + k for k in (-1, 0, 1)]))
-    b = right.withColumn("_x", beside(lat_of(F.col("r_lat"))))
-    b = b.withColumn("_y", beside(lng_cell(F.col("r_lng"), F.col("_x"), metres)))
-    joined = a.join(b, ["_x", "_y"]).drop("_x", "_y")
-    far = joined.withColumn("metres", flat_metres(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
+    x, y, turn = fresh(left, "band", "cell", "turn", beside=right)
+    lat_of = lambda v: cell(v, LAT_METRES, metres * 1.01)
+    a = left.withColumn(x, lat_of(F.col("lat"))).withColumn(y, lng_cell(F.col("lng"), F.col(x), metres))
+    beside = lambda v: F.explode(F.array(*[v + k for k in (-1, 0, 1)]))
+    b = right.withColumn(x, beside(lat_of(F.col("r_lat"))))
+    reach = lng_size(F.col(x), metres) / LNG_METRES
+    turns = F.when(F.abs("r_lng") + reach > 180, F.array(F.lit(0.0), -360 * F.signum("r_lng"))).otherwise(F.array(F.lit(0.0)))
+    b = b.withColumn(turn, F.explode(turns)).withColumn(y, beside(lng_cell(F.col("r_lng") + F.col(turn), F.col(x), metres)))
+    east = F.col("r_lng") + F.col(turn)
+    joined = a.join(b, [x, y]).where(F.when(F.col(turn) == 0, F.abs(east - F.col("lng")) <= 180).otherwise(F.abs(east - F.col("lng")) < 180))
+    far = joined.withColumn("metres", flat_metres(F.col("lat"), F.col("lng"), F.col("r_lat"), east)).drop(x, y, turn)
     return far.where(F.col("metres") <= metres if inclusive else F.col("metres") < metres)
 
 
@@ -107,7 +124,7 @@ def independent(df: DataFrame, subject: list[str], witness: str, quorum: int) ->
 
 def fused(claims: DataFrame, radius: float = 20.0) -> DataFrame:
     """One vote a source, the heaviest located one is the anchor; votes near it (or without place) agree, others dissent."""
-    votes = latest(claims, ["feature_id", "source"], [F.asc("seq")])
+    votes = latest(claims.select("feature_id", "source", "seq", "lat", "lng", "weight"), ["feature_id", "source"], [F.asc("seq")])
     anchor = latest(votes.where("lat is not null"), ["feature_id"], [F.desc("weight"), F.asc("seq")]).select("feature_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.col("weight").alias("a_weight"), F.col("source").alias("anchor"))
     near = flat_metres(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng")) <= radius
     judged = votes.join(anchor, "feature_id").withColumn("agrees", F.col("lat").isNull() | near)
@@ -142,7 +159,8 @@ def best_pairs(left: DataFrame, right: DataFrame, block: str, floor: float, limi
 
 def unique_names(df: DataFrame, name: str, key: str) -> DataFrame:
     """Names that identify one row, with its key."""
-    return df.groupBy(name).agg(F.count("*").alias("_n"), F.min(key).alias(key)).where("_n = 1").drop("_n")
+    (n,) = fresh(df, "n_rows")
+    return df.groupBy(name).agg(F.count("*").alias(n), F.min(key).alias(key)).where(F.col(n) == 1).drop(n)
 
 
 def dominant(df: DataFrame, keys: list[str], value: str) -> DataFrame:

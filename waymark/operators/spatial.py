@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LAT_METRES, LNG_METRES, cell, flat_metres
+from ..runtime import materialize
+from .ops import W, fresh, lng_cell, within
 
-#: Sides of the cells that points and areas meet in.
-CELL_METRES = 120.0
+#: Height in degrees of the smallest cells that points and boxes meet in; each level's cells are twice as high.
+LEAST_CELL = 0.001
+#: Children of a cell in each direction, and sides in degrees, in the search for the nearest at any distance.
+SPLIT, SIDES = 8, (45.0, 45.0 / 8, 45.0 / 64, 45.0 / 512, 45.0 / 4096)
 
 
 def _edges(ring: Column) -> Column:
@@ -40,20 +44,79 @@ def ring_bounds(ring: Column) -> Column:
     return F.struct(of(F.array_min, "lat").alias("south"), of(F.array_max, "lat").alias("north"), of(F.array_min, "lng").alias("west"), of(F.array_max, "lng").alias("east"))
 
 
-def containing(points: DataFrame, areas: DataFrame, cell_metres: float = CELL_METRES) -> DataFrame:
-    """Pairs of points (lat, lng) and the areas (ring) that hold them; they meet in the cells that an area's bounds cover."""
-    lat_of, lng_of = (lambda x: cell(x, LAT_METRES, cell_metres)), (lambda x: cell(x, LNG_METRES, cell_metres))
-    box = areas.withColumn("_b", ring_bounds(F.col("ring")))
-    covered = box.withColumn("_x", F.explode(F.sequence(lat_of(F.col("_b.south")), lat_of(F.col("_b.north"))))).withColumn("_y", F.explode(F.sequence(lng_of(F.col("_b.west")), lng_of(F.col("_b.east")))))
-    met = points.withColumn("_x", lat_of(F.col("lat"))).withColumn("_y", lng_of(F.col("lng"))).join(covered, ["_x", "_y"])
-    within = (F.col("lat") >= F.col("_b.south")) & (F.col("lat") <= F.col("_b.north")) & (F.col("lng") >= F.col("_b.west")) & (F.col("lng") <= F.col("_b.east"))
-    return met.where(within & in_ring(F.col("lat"), F.col("lng"), F.col("ring"))).drop("_x", "_y", "_b")
+def _cell_of(degrees: Column, level: Column) -> Column:
+    return F.floor(degrees / (F.pow(F.lit(2.0), level) * LEAST_CELL)).cast("long")
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, box: Column) -> DataFrame:
+    """Pairs of points (lat, lng) and the boxes (struct south, north, west, east of `boxes`) that hold them, their sides included.
+
+    A box lies in cells that are at least as high and wide as itself, at most four; a point looks into its cell
+    of each size that some box has.  So neither the extent of a box nor the number of boxes multiplies rows.
+    """
+    level, x, y, bounds = fresh(points, "level", "cell_lat", "cell_lng", "bounds", beside=boxes)
+    side = F.greatest(box["north"] - box["south"], box["east"] - box["west"])
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(LEAST_CELL)) / LEAST_CELL))).cast("int")
+    spread = lambda lo, hi: F.explode(F.sequence(_cell_of(lo, F.col(level)), _cell_of(hi, F.col(level))))
+    whole = boxes.withColumn(bounds, box).withColumn(level, size).where(side >= 0)
+    b = F.col(bounds)
+    levels = sorted(r[0] for r in whole.select(level).distinct().collect())  # about 20 at most
+    laid = whole.withColumn(x, spread(b["south"], b["north"])).withColumn(y, spread(b["west"], b["east"]))
+    placed = points.withColumn(level, F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    placed = placed.withColumn(x, _cell_of(F.col("lat"), F.col(level))).withColumn(y, _cell_of(F.col("lng"), F.col(level)))
+    met = placed.join(laid, [level, x, y])
+    held = (F.col("lat") >= b["south"]) & (F.col("lat") <= b["north"]) & (F.col("lng") >= b["west"]) & (F.col("lng") <= b["east"])
+    return met.where(held).drop(level, x, y, bounds)
+
+
+def containing(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Pairs of points (lat, lng) and the areas (ring) that hold them; rows without a position or a ring meet none."""
+    return in_boxes(points, areas, ring_bounds(F.col("ring"))).where(in_ring(F.col("lat"), F.col("lng"), F.col("ring")))
+
+
+def nearest_anywhere(points: DataFrame, places: DataFrame, lat_metres: float = LAT_METRES) -> DataFrame:
+    """lat and lng of every position of points, with the place (place, r_lat, r_lng) nearest to it and the metres, however far; of equals the least place.
+
+    Cells that hold points are split again and again, from 45 degrees down to a hundredth of one.  Of a cell's
+    places those go on into its parts that may be nearest to some position in it: whose least distance to the
+    cell is no more than the greatest distance of another place.  So positions meet only the last few.
+    Distances are flat, longitude scaled at the position, to 0.1 mm; longitudes go round at 180 degrees.  Rows
+    without a finite position are left out.
+    """
+    finite = lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (F.abs(a) <= 90) & (F.abs(b) <= 180)
+    of = lambda v: F.floor(v / SIDES[-1]).cast("long")
+    spots = points.select("lat", "lng").where(finite("lat", "lng")).distinct()
+    spots = materialize(spots.withColumns({"x": of(F.col("lat")), "y": of(F.col("lng"))}))
+    rows = places.where(finite("r_lat", "r_lng")).groupBy("r_lat", "r_lng").agg(F.min("place").alias("place"))
+    rows = rows.withColumn("east", F.explode(F.array(*[F.col("r_lng") + k for k in (-360.0, 0.0, 360.0)])))
+    for depth, side in enumerate(SIDES):
+        up = SPLIT ** (len(SIDES) - 1 - depth)
+        cells = spots.select(F.floor(F.col("x") / up).alias("x"), F.floor(F.col("y") / up).alias("y")).distinct()
+        if depth:
+            above = rows.withColumnsRenamed({"x": "px", "y": "py"})
+            met = cells.withColumns({"px": F.floor(F.col("x") / SPLIT), "py": F.floor(F.col("y") / SPLIT)}).join(above, ["px", "py"]).drop("px", "py")
+        else:  # every place goes to each of the cells that hold points, of 45 at most
+            world = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("x"), F.lit(j).cast("long").alias("y")) for i in range(-2, 3) for j in range(-4, 5)]))
+            met = rows.withColumn("c", world).select("*", "c.x", "c.y").drop("c").join(F.broadcast(cells), ["x", "y"], "left_semi")
+        south, west = F.col("x") * side, F.col("y") * side
+        gap = lambda v, lo: F.greatest(F.lit(0.0), lo - v, v - lo - side)
+        span = lambda v, lo: F.greatest(F.abs(v - lo), F.abs(v - lo - side))
+        low, high = F.least(F.abs(south), F.abs(south + side)), F.greatest(F.abs(south), F.abs(south + side))
+        narrow = F.cos(F.radians(F.least(F.lit(90.0), high)))
+        wide = F.when((south <= 0) & (south + side >= 0), 1.0).otherwise(F.cos(F.radians(low)))
+        far = lambda f, k: F.hypot(f(F.col("r_lat"), south) * lat_metres, f(F.col("east"), west) * LNG_METRES * k)
+        bound = F.min(far(span, wide)).over(W.partitionBy("x", "y"))
+        rows = met.withColumns({"least": far(gap, narrow), "bound": bound}).where(F.col("least") <= F.col("bound") + 0.001)
+        rows = materialize(rows.select("x", "y", "r_lat", "east", "place"))
+    metres = F.hypot((F.col("r_lat") - F.col("lat")) * lat_metres, (F.col("east") - F.col("lng")) * LNG_METRES * F.cos(F.radians("lat")))
+    best = spots.join(rows, ["x", "y"]).groupBy("lat", "lng").agg(F.min(F.struct(F.round(metres, 4).alias("metres"), "place")).alias("b"))
+    return best.select("lat", "lng", "b.place", "b.metres")
 
 
 def smallest_area(points: DataFrame, areas: DataFrame, key: str, fallback: str) -> DataFrame:
     """Every point with the name of the smallest area that holds it, or the fallback."""
-    held = containing(points.select(key, "lat", "lng"), areas.withColumn("_area", ring_area(F.col("ring"))))
-    best = held.groupBy(key).agg(F.min_by("area_name", F.struct("_area", "area")).alias("area_name"))
+    held = containing(points.select(key, "lat", "lng"), areas.select("area", "area_name", "ring", ring_area(F.col("ring")).alias("size_of_area")))
+    best = held.groupBy(key).agg(F.min_by("area_name", F.struct("size_of_area", "area")).alias("area_name"))
     return points.join(best, key, "left").withColumn("area_name", F.coalesce("area_name", F.lit(fallback)))
 
 
@@ -74,8 +137,6 @@ def to_segment(lat: Column, lng: Column, a: Column, b: Column) -> Column:
 
 def nearest_line(points: DataFrame, parts: DataFrame, key: str, metres: float) -> DataFrame:
     """key and the metres to the nearest segment (way, part, a, b) within `metres`; segments meet points in cells round their bounds."""
-    from .ops import lng_cell
-
     lat_of = lambda x: cell(x, LAT_METRES, metres * 1.01)
     lng_of = lambda x: lng_cell(x, F.col("_x"), metres)  # noqa: E731  cells of the band's own size
     spread = lambda f, k: F.sequence(f(F.least(F.col("a")[k], F.col("b")[k])) - 1, f(F.greatest(F.col("a")[k], F.col("b")[k])) + 1)
@@ -92,8 +153,6 @@ def nearest(points: DataFrame, places: DataFrame, key: str, metres: float) -> Da
     Positions are searched once: places at one position give way to the least of them, and points at one
     position share its answer, so neither crowded places nor repeated fixes multiply pairs.
     """
-    from .ops import within
-
     spots = places.groupBy("r_lat", "r_lng").agg(F.min("place").alias("place"))
     pairs = within(points.select("lat", "lng").distinct(), spots, metres)
     best = pairs.groupBy("lat", "lng").agg(F.min(F.struct(F.round("metres", 4).alias("metres"), "place")).alias("b"))
@@ -102,8 +161,6 @@ def nearest(points: DataFrame, places: DataFrame, key: str, metres: float) -> Da
 
 def nearest_k(points: DataFrame, places: DataFrame, key: str, metres: float, k: int) -> DataFrame:
     """The k nearest places (place, r_lat, r_lng) of each point within `metres`, numbered from 1; points at one position share them."""
-    from .ops import W, within
-
     rank = F.row_number().over(W.partitionBy("lat", "lng").orderBy("metres", "place"))
     near = within(points.select("lat", "lng").distinct(), places, metres).withColumn("metres", F.round("metres", 4))
     ranked = near.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -122,4 +179,4 @@ def overlapping(boxes: DataFrame, others: DataFrame, size: float) -> DataFrame:
     return laid(boxes, "").join(laid(others, "o_"), ["_x", "_y"]).where(first & meets).drop("_x", "_y")
 
 
-__all__ = ["containing", "flat_metres", "in_ring", "nearest", "nearest_k", "nearest_line", "overlapping", "ring_area", "ring_bounds", "segments", "smallest_area", "to_segment"]
+__all__ = ["containing", "flat_metres", "in_boxes", "in_ring", "nearest", "nearest_anywhere", "nearest_k", "nearest_line", "overlapping", "ring_area", "ring_bounds", "segments", "smallest_area", "to_segment"]

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import half_up, haversine
+from ..functions.exprs import LNG_METRES, half_up, haversine
 from ..functions.names import utc_day
-from .ops import latest, thinned, within
+from .folds import fold, verdict
+from .ops import fresh, latest, within
+from .spatial import in_boxes, nearest_anywhere
 
-#: Venues that are compared with a fix in one expression: a catalogue, not data.
-MAX_VENUES = 5000
 # Ranks with the points they take, and what an action earns.
 RANK_LADDER = [("visitor", 0), ("scout", 50), ("ranger", 250), ("cartographer", 1000), ("steward", 3000)]
 AWARDS = {"first": 12, "confirm": 2, "deny": 2, "live": 2}
@@ -37,34 +37,31 @@ def venue_of(points: DataFrame, venues: DataFrame) -> DataFrame:
     """points with venue, inside and venue_metres: the nearest centre of the venues whose box holds the point, of all venues if none does.
 
     venues has venue, c_lat, c_lng and a box (south, north, west, east); of equals (to 0.1 mm) the least venue.
+    Positions are judged once.  They meet boxes by cells; those in no box are searched for the nearest centre,
+    however far (`spatial.nearest_anywhere`).  Points without a finite position have no venue.
     """
-    rows = venues.limit(MAX_VENUES + 1).collect()
-    if len(rows) > MAX_VENUES:
-        raise ValueError(f"more than {MAX_VENUES} venues")
-    lat, lng = F.col("lat"), F.col("lng")
-
-    def judged(v) -> Column:
-        box = {k: F.lit(v[k]) for k in ("south", "north", "west", "east")}
-        metres = F.hypot((F.lit(v["c_lat"]) - lat) * 111320.0, (F.lit(v["c_lng"]) - lng) * 111320.0 * F.cos(F.radians(lat)))
-        return F.struct((~in_box(lat, lng, box)).alias("outside"), F.round(metres, 4).alias("metres"), F.lit(v["venue"]).cast("long").alias("venue"))
-
-    best = F.array_min(F.array(*map(judged, rows))) if rows else F.lit(None).cast("struct<outside:boolean,metres:double,venue:long>")
-    known = points.withColumn("_v", F.when(lat.isNotNull() & lng.isNotNull(), best))
-    return known.select(*points.columns, F.col("_v.venue").alias("venue"), (~F.col("_v.outside")).alias("inside"), F.col("_v.metres").alias("venue_metres"))
+    box = F.struct("south", "north", "west", "east")
+    spots = points.select("lat", "lng").where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).distinct()
+    metres = F.hypot((F.col("c_lat") - F.col("lat")) * LNG_METRES, (F.col("c_lng") - F.col("lng")) * LNG_METRES * F.cos(F.radians("lat")))
+    known = venues.select("venue", "c_lat", "c_lng", "south", "north", "west", "east")
+    inside = in_boxes(spots, known, box).where(in_box(F.col("lat"), F.col("lng"), box))
+    held = inside.groupBy("lat", "lng").agg(F.min(F.struct(F.round(metres, 4).alias("venue_metres"), "venue")).alias("b"))
+    held = held.select("lat", "lng", "b.venue", F.lit(True).alias("inside"), "b.venue_metres")
+    centres = known.select(F.col("venue").alias("place"), F.col("c_lat").alias("r_lat"), F.col("c_lng").alias("r_lng"))
+    near = nearest_anywhere(spots.join(held, ["lat", "lng"], "left_anti"), centres, LNG_METRES)
+    found = held.unionByName(near.select("lat", "lng", F.col("place").alias("venue"), F.lit(False).alias("inside"), F.col("metres").alias("venue_metres")))
+    return points.join(found, ["lat", "lng"], "left").select(*points.columns, "venue", "inside", "venue_metres")
 
 
 def fix_verdicts(fixes: DataFrame, key: str, seq: str, box: dict[str, float], metres: float = 8.0, accuracy: float = 35.0) -> DataFrame:
-    """fixes with keep and reason, the first that holds: manual, invalid, outside, accuracy, first, too-close (to the last one kept), moved."""
-    lat, lng = F.col("lat"), F.col("lng")
-    usable = lat.isNotNull() & lng.isNotNull() & ~F.isnan(lat) & ~F.isnan(lng)
-    refused = F.when(F.coalesce(F.col("manual"), F.lit(False)), "manual").when(~usable, "invalid")
-    refused = refused.when(~in_box(lat, lng, {k: F.lit(v) for k, v in box.items()}), "outside").when(F.col("acc") > accuracy, "accuracy")
-    judged = fixes.withColumn("_r", refused)
-    kept = thinned(judged.where("_r is null").select(key, seq, "lat", "lng"), key, seq, metres)
-    first = kept.groupBy(key).agg(F.min(seq).alias("_first"))
-    marks = kept.join(first, key).select(key, seq, F.when(F.col(seq) == F.col("_first"), "first").otherwise("moved").alias("_k"))
-    reason = F.coalesce("_r", "_k", F.lit("too-close"))
-    return judged.join(marks, [key, seq], "left").select(*fixes.columns, F.col("_k").isNotNull().alias("keep"), reason.alias("reason"))
+    """fixes with keep and reason, the first that holds: manual, invalid, outside, accuracy, first, too-close (to the last one kept), moved.
+
+    One pass over each key's rows in order of seq (of equals by position) judges every row, repeated ones too;
+    a null key is a key; a position or accuracy that isn't finite counts as missing.
+    """
+    (why,) = fresh(fixes, "verdict")
+    told = fold(fixes, [key], [seq, "lat", "lng"], verdict(box, metres, accuracy), why, "string")
+    return told.select(*fixes.columns, F.col(why).isin("first", "moved").alias("keep"), F.col(why).alias("reason"))
 
 
 def best_entrance(entrances: DataFrame, order: str) -> DataFrame:

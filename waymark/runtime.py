@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _NAME = "waymark_package.zip"
 
@@ -33,3 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.conf.set("spark.checkpoint.dir", made := f"file://{tempfile.mkdtemp(prefix='waymark-')}")
     return made
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read back: later steps don't compute it again, and its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for these tables."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
