@@ -34,7 +34,7 @@ def corpus(n=150, seed=3):
     return [(i, " ".join(rng.choice(parts) if rng.random() < 0.5 else fresh() for _ in range(rng.randint(0, 6))) + rng.choice(["", "", " x" * 60])) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
+@pytest.mark.parametrize("block", [1 << 20, 20_000, 200, 1])
 def test_decontamination(spark, block):
     rng = random.Random(1)
     vocab = [f"t{i}" for i in range(40)]
@@ -345,3 +345,37 @@ def test_token_counts_of_code_and_of_every_joined_pair():
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(10_000)]
     texts += ["".join(rng.choice(pieces).replace("▁", " ") for _ in range(rng.randint(1, 6))) for _ in range(10_000)]
     assert [t for t in texts if counter.count(t) != len(library.encode(t))] == []
+
+
+@pytest.mark.parametrize("block", [1 << 20, 1500, 1])
+def test_decontamination_of_a_large_benchmark_with_clashing_columns(spark, block):
+    """Broadcast benchmark; too large, but few of its windows occur; more occur than may be broadcast: one result."""
+    bench = [(i, " ".join(f"q{i}x{k}" for k in range(40))) for i in range(20)] + [(100 + i, "short and hot item") for i in range(30)]
+    copy = "a short and hot item of many copies, see " + bench[3][1][:90]
+    rows = [(i, copy) for i in range(40)] + [(50, "nothing of it")] + [(None, None), (51, None), (52, ""), (53, bench[4][1].upper())] * 2
+    clashes = ["1 _found_spans", "2 _found_ids", "3 found_spans", "4 found_ids", "5 slot", "6 text_key", "7 n_words", "8 spans", "9 item_ids", "10 text_bytes"]
+    df = spark.createDataFrame(rows, DOCS).repartition(3).selectExpr("*", *clashes)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    left = decontaminate.decontaminate(df, b, block_bytes=block)
+    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(["50", *["None", "51", "52"] * 2])
+    cut = decontaminate.remove_spans(df, b, block_bytes=block)
+    assert cut.columns == df.columns and {r.text for r in cut.collect() if r.doc_id == 53} == {""}
+    found = {(r.doc_id, r.n_words): r for r in decontaminate.scan(df, b, block_bytes=block).collect()}
+    assert len(found[0, found_words := len(brute.tokens(copy))].item_ids) == 31 and found_words > 20
+    assert found[53, 40].item_ids == ["4"] and [tuple(s) for s in found[53, 40].spans] == [(0, 40)]
+
+
+def test_windows_of_many_equal_items_take_linear_time():
+    began = __import__("time").time()
+    windows = decontaminate.WindowSet([(str(i), b"one two three four") for i in range(200_000)], 13)
+    assert len(windows.items) == 1 and len(windows.items[b"one two three four"]) == 200_000
+    assert __import__("time").time() - began < 20
+
+
+def test_urls_of_very_long_hosts_and_paths(spark):
+    host = "x." * 100_000 + "Example.net"
+    rows = [(1, f"http://{host}/en/a"), (2, f"http://{host}/fr/" + "y/" * 100_000), (3, "http://" + "a" * 300_000 + ".org/fr/"), (4, "http://.../"), (5, "http://org/fr/")] * 2
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark)).collect()}
+    assert [got[i].rule for i in range(1, 6)] == ["example.net/en/", "net/", "org/fr/", None, "org/fr/"]
+    assert got[1].host == host.lower() and got[2].verdict == "block" and got[4].host == "..."
+    assert url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark).limit(0)).where("rule is not null").count() == 0
