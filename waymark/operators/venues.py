@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import LNG_METRES, half_up, haversine
+from ..functions.exprs import LAT_METRES, LNG_METRES, half_up, haversine
 from ..functions.names import utc_day
 from .folds import fold, verdict
 from .ops import fresh, latest, within
@@ -258,3 +258,27 @@ def live_members(members: DataFrame, now: int, ttl_ms: int = 45 * 60_000) -> Dat
 def live_reports(reports: DataFrame, keys: list[str], seq: str, now: int, ttl_ms: int) -> DataFrame:
     """The last report of each key, unless it takes the one before back (null status) or is older than ttl_ms."""
     return latest(reports, keys, [F.desc(seq)]).where(F.col("status").isNotNull() & (now - F.col("ms") <= ttl_ms))
+
+
+def trace_candidates(segments: DataFrame, vertices: DataFrame, gap: float = 12.0, size: float = 15.0) -> DataFrame:
+    """Grid cells of walked segments that lie off the known paths, those that most sessions walked first.
+
+    segments has seq (their order), session, mid_lat, mid_lng and metres; vertices (r_lat, r_lng) are the points of
+    known paths.  Segments less than `gap` metres from a vertex are left out.  Of each cell of `size` metres, its
+    numbers cut towards zero: its different sessions (null and empty ones aren't; without any, its segments),
+    and of its first segment the session, the metres and the whole metres to the nearest vertex, however far
+    (null if there is none).  Segments without a position are left out; of equal seq the least session is first.
+    """
+    cut = lambda v, k: (v * k / size).cast("long")
+    mids = segments.where(F.col("mid_lat").isNotNull() & F.col("mid_lng").isNotNull())
+    spots = mids.select(F.col("mid_lat").alias("lat"), F.col("mid_lng").alias("lng")).distinct()
+    near = within(spots, vertices.select("r_lat", "r_lng").distinct(), gap).select(F.col("lat").alias("mid_lat"), F.col("lng").alias("mid_lng")).distinct()
+    off = mids.join(near, ["mid_lat", "mid_lng"], "left_anti")
+    named = F.nullif(F.col("session").cast("string"), F.lit(""))
+    cells = off.groupBy(cut(F.col("mid_lat"), LAT_METRES).alias("cell_lat"), cut(F.col("mid_lng"), LNG_METRES).alias("cell_lng")).agg(
+        F.countDistinct(named).alias("n"), F.count("*").alias("rows"), F.min(F.struct("seq", "session", "metres", "mid_lat", "mid_lng")).alias("s")
+    )
+    out = cells.select("cell_lat", "cell_lng", F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("rows")).alias("sessions"), "s.*")
+    gaps = nearest_anywhere(out.selectExpr("mid_lat as lat", "mid_lng as lng"), vertices.select("r_lat", "r_lng", F.lit(0).alias("place")))
+    joined = out.join(gaps.select(F.col("lat").alias("mid_lat"), F.col("lng").alias("mid_lng"), F.bround("metres").cast("long").alias("gap_metres")), ["mid_lat", "mid_lng"], "left")
+    return joined.select("cell_lat", "cell_lng", "sessions", "gap_metres", "seq", "session", "metres").orderBy(F.desc("sessions"), F.desc(F.coalesce("metres", F.lit(0.0))), "seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.exprs import half_up
+from ..functions.exprs import half_up, haversine
 from ..operators import ops as O
 from ..operators import venues as U
 from . import views as V
@@ -22,6 +22,29 @@ def _haversine(a: str, b: str, c: str, d: str) -> str:
     return f"2 * 6371000 * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))"
 
 
+@_query(
+    _with(f=V.FIX, q=V.PLACE)
+    + f""", o AS (SELECT device, seq, ms, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM f),
+p AS (SELECT *, lag(lat) OVER w AS b_lat, lag(lng) OVER w AS b_lng, ms - lag(ms) OVER w AS dt FROM o WINDOW w AS (PARTITION BY device ORDER BY seq)),
+s AS (SELECT *, sum(CASE WHEN dt IS NULL OR dt < 0 OR dt >= 43200000 THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM p),
+m AS (SELECT seq, CASE WHEN seq % 7 > 0 THEN device || '-' || session END AS session, (lat + b_lat) / 2 AS y, (lng + b_lng) / 2 AS x, {_haversine('b_lat', 'b_lng', 'lat', 'lng')} AS metres FROM s WHERE dt BETWEEN 0 AND 43199999),
+g AS (SELECT seq, session, y, x, metres, min(sqrt(pow((r_lat - y) * 110540, 2) + pow((r_lng - x) * 111320 * cos(radians(y)), 2))) AS gap FROM m, (SELECT DISTINCT CAST(r_lat AS DOUBLE) AS r_lat, CAST(r_lng AS DOUBLE) AS r_lng FROM q WHERE place % 3 = 0) GROUP BY ALL),
+k AS (SELECT *, CAST(trunc(y * 110540 / 15) AS BIGINT) AS cell_lat, CAST(trunc(x * 111320 / 15) AS BIGINT) AS cell_lng FROM g WHERE gap >= 12)
+SELECT cell_lat, cell_lng, CASE WHEN count(DISTINCT session) > 0 THEN count(DISTINCT session) ELSE count(*) END AS sessions, CAST(round_even(arg_min(gap, seq), 0) AS BIGINT) AS gap_metres, min(seq) AS seq,
+(arg_min(coalesce(session, '-'), seq)) AS session, floor(arg_min(metres, seq) * 100 + 0.5) / 100 AS metres FROM k GROUP BY 1, 2"""
+)
+def trace_candidates(spark, sf):
+    """Midpoints of steps within a session, off the vertices that a third of the places are."""
+    f = _view(spark, sf, V.FIX).selectExpr("device", "seq", "ms", "cast(lat as double) lat", "cast(lng as double) lng")
+    w = O.W.partitionBy("device", "session").orderBy("seq")
+    steps = O.sessions(f, "device", "ms", "seq", 12 * 3600 * 1000).withColumns({"b_lat": F.lag("lat").over(w), "b_lng": F.lag("lng").over(w)}).where("b_lat is not null")
+    named = F.when(F.col("seq") % 7 > 0, F.concat_ws("-", "device", "session"))
+    segments = steps.select("seq", named.alias("session"), ((F.col("lat") + F.col("b_lat")) / 2).alias("mid_lat"), ((F.col("lng") + F.col("b_lng")) / 2).alias("mid_lng"), haversine(F.col("b_lat"), F.col("b_lng"), F.col("lat"), F.col("lng")).alias("metres"))
+    vertices = _view(spark, sf, V.PLACE).where("place % 3 = 0").selectExpr("cast(r_lat as double) r_lat", "cast(r_lng as double) r_lng")
+    found = U.trace_candidates(segments, vertices)
+    return found.withColumns({"session": F.coalesce("session", F.lit("-")), "metres": half_up(F.col("metres"), 2)})
+
+
 @_query(_with(f=V.FIX, a=V.AREA) + f""", v AS (SELECT area AS venue, c_lat, c_lng, {_BOX} FROM a),
 d AS (SELECT seq, venue, lat < north AND lat > south AND lng < east AND lng > west AS inside, round(sqrt(pow((c_lat - lat) * 111320, 2) + pow((c_lng - lng) * 111320 * cos(radians(lat)), 2)), 4) AS m FROM f, v)
 SELECT seq, CAST(venue AS BIGINT) AS venue, inside, floor(m * 100 + 0.5) / 100 AS metres FROM d QUALIFY row_number() OVER (PARTITION BY seq ORDER BY inside DESC, m, venue) = 1""")
