@@ -110,7 +110,10 @@ def test_verdicts_equal_plain_python(spark):
     assert {r.reason for r in got} == {"manual", "invalid", "outside", "accuracy", "first", "too-close", "moved"}
 
 
-def test_components_leave_out_edges_with_nulls(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_components_leave_out_edges_with_nulls(spark):
     edges = spark.createDataFrame([(1, 2, 3), (1, None, 5), (1, 6, None), (None, 7, 8), (1, 3, 4)], "venue long, a long, b long")
-    assert sorted(map(tuple, graph.components(edges).collect())) == [(1, 2, 2), (1, 3, 2), (1, 4, 2)]
+    for small in (0, 1000):
+        assert sorted(map(tuple, graph.components(edges, small).collect())) == [(1, 2, 2), (1, 3, 2), (1, 4, 2)]
+    rng = random.Random(4)
+    many = spark.createDataFrame([(rng.randint(1, 2), rng.randint(0, 200), rng.randint(0, 200)) for _ in range(180)], "venue long, a long, b long")
+    assert set(map(tuple, graph.components(many, 0).collect())) == set(map(tuple, graph.components(many).collect()))
