@@ -301,14 +301,15 @@ def similar(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
     labelled = prefixes.join(small(materialize(roots)), F.col("v") == F.col("id"), "left").withColumn("root", F.coalesce("root", "v"))
     index = labelled.select("v", "n", "root", F.posexplode("prefix").alias("i", "h")).repartition("h")
     a, b = (index.select("h", *[F.col(c).alias(end + c) for c in ("v", "n", "i", "root")]) for end in "ab")
-    alike = 5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")
-    met = a.join(b.hint("merge"), "h").where((F.col("av") < F.col("bv")) & (F.col("aroot") != F.col("broot")) & alike)
-    met = met.groupBy(F.col("av").alias("a"), F.col("bv").alias("b")).agg(F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("an", "bn", "ai", "bi")])
-    # 9 |A and B| >= 4 (|A| + |B|): from the first common shingle on, no more can be common than either set has
-    # left; and in the prefix that ends first, all that aren't shared are the set's own, of which it has few
-    room = 9 * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= 4 * (F.col("an") + F.col("bn"))
-    spare = lambda n: 9 * (F.floor(F.col(n) / 5) + 1 - F.col("c")) <= 5 * F.col(n) - 4 * F.col("bn" if n == "an" else "an")
-    met = met.where(room & (spare("an") | spare("bn"))).select("a", "b")
+    # 9 |A and B| >= 4 (|A| + |B|).  From a common shingle on no more can be common than either set has left: the first
+    # one of a similar pair leaves that much room, and those that leave less can't be the first, so they don't meet
+    need = 4 * (F.col("an") + F.col("bn"))
+    room = 9 * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= need
+    met = a.join(b.hint("merge"), "h").where((F.col("av") < F.col("bv")) & (F.col("aroot") != F.col("broot")) & room)
+    pairs = met.groupBy(F.col("av").alias("a"), F.col("bv").alias("b")).agg(F.count("*").alias("c"), F.first("an").alias("an"), F.first("bn").alias("bn"), F.max("ai").alias("ai"), F.max("bi").alias("bi"))
+    # all that are common up to the last one that met have met too, so c of them and what is left after it bound the whole
+    left = F.col("c") + F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) - 1
+    met = pairs.where(9 * left >= need).select("a", "b")
     rest = _verified(materialize(_near(met, classes).select("a", "b")), docs, classes, size, seed)
     roots = components(dense.union(rest))
     joined = rows.select("doc_id", "text_key", "v", "w").join(roots, rows["v"] == roots["id"], "left")
