@@ -95,8 +95,8 @@ def lng_cell(lng: Column, band: Column, metres: float) -> Column:
     return F.floor(lng * LNG_METRES / lng_size(band, metres)).cast("long")
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, inclusive: bool = False) -> DataFrame:
-    """Pairs of left (lat, lng) and right (r_lat, r_lng) less than `metres` apart (or just so far), by a join of grid cells.
+def within(left: DataFrame, right: DataFrame, metres: float, inclusive: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of left (lat, lng) and right (r_lat, r_lng) with equal keys less than `metres` apart (or just so far), by a join of grid cells.
 
     A right row is put into its own band of latitude and the two beside it, and there into its cell of that
     band's grid and the two beside it; each pair meets once.  Longitudes within reach of 180 degrees are entered
@@ -112,7 +112,7 @@ def within(left: DataFrame, right: DataFrame, metres: float, inclusive: bool = F
     turns = F.when(F.abs("r_lng") + reach > 180, F.array(F.lit(0.0), -360 * F.signum("r_lng"))).otherwise(F.array(F.lit(0.0)))
     b = b.withColumn(turn, F.explode(turns)).withColumn(y, beside(lng_cell(F.col("r_lng") + F.col(turn), F.col(x), metres)))
     east = F.col("r_lng") + F.col(turn)
-    joined = a.join(b, [x, y]).where(F.when(F.col(turn) == 0, F.abs(east - F.col("lng")) <= 180).otherwise(F.abs(east - F.col("lng")) < 180))
+    joined = a.join(b, [*keys, x, y]).where(F.when(F.col(turn) == 0, F.abs(east - F.col("lng")) <= 180).otherwise(F.abs(east - F.col("lng")) < 180))
     far = joined.withColumn("metres", flat_metres(F.col("lat"), F.col("lng"), F.col("r_lat"), east)).drop(x, y, turn)
     return far.where(F.col("metres") <= metres if inclusive else F.col("metres") < metres)
 
