@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,58 @@ def test_windows_with_watermarks(spark, tmp_path):
     assert sorted((r.device, r.n) for r in spark.table("sessions").collect()) == [(1, 1), (1, 2), (2, 1)]
     assert sorted((r.device, r.n) for r in spark.table("counts").collect()) == [(1, 1), (1, 2), (2, 1)]
     assert spark.table("once").count() == 4
+
+
+def test_smoother_equals_full_matrices():
+    """The same filter with its 4 x 4 matrices written out."""
+    rng = np.random.default_rng(1)
+    step, state = folds.smooth(), None
+    lat, lng, ms, seen = 51.0, 4.0, 0, []
+    filt = None
+    for n in range(600):
+        lat, lng, ms = lat + rng.normal(0, 1e-5), lng + rng.normal(0, 1e-5), ms + int(rng.choice([50, 1000, 5000]))
+        if rng.random() < 0.02:
+            lat += 0.05
+        row = {"lat": lat + rng.choice([0, 0, 0, 4e-4]), "lng": lng, "ms": ms, "acc": rng.choice([None, 2.0, 9.0, 30.0, 95.0]), "manual": rng.random() < 0.01}
+        state, told = step(state, row)
+        acc = max(4.0, 25.0 if row["acc"] is None else row["acc"])
+        put = lambda f, bad=False: f"{f['out'][0]:.6f},{f['out'][1]:.6f}{'!' if bad else ''}"
+
+        def seed(row=row, acc=acc):
+            return {"at": (row["lat"], row["lng"], 111320 * math.cos(math.radians(row["lat"]))), "x": np.zeros(4), "P": np.diag([acc**2, acc**2, 4, 4]), "ts": row["ms"], "bad": 0, "out": (row["lat"], row["lng"])}
+
+        if row["manual"]:
+            filt, want = None, f"{row['lat']:.6f},{row['lng']:.6f}"
+        elif filt is None:
+            filt = seed()
+            want = put(filt)
+        elif acc > 80 and filt["bad"] < 3:
+            filt["bad"] += 1
+            want = put(filt, True)
+        elif (far := folds._metres(*filt["out"], row["lat"], row["lng"])) > 2500:
+            filt = seed()
+            want = put(filt)
+        else:
+            dt = max((row["ms"] - filt["ts"]) / 1000, 0.2)
+            move = np.eye(4) + dt * np.eye(4, k=2)
+            filt["x"], filt["P"] = move @ filt["x"], move @ filt["P"] @ move.T + np.diag([(0.6 * dt) ** 2] * 2 + [0.8 * dt] * 2)
+            if far / dt > 12 and filt["bad"] < 3:
+                filt["bad"] += 1
+                want = put(filt, True)
+            else:
+                look = np.eye(2, 4)
+                miss = np.array([(row["lng"] - filt["at"][1]) * filt["at"][2], (row["lat"] - filt["at"][0]) * 111320]) - filt["x"][:2]
+                cov = look @ filt["P"] @ look.T + np.eye(2) * acc**2
+                filt["ts"] = row["ms"]
+                if miss @ np.linalg.inv(cov) @ miss > 9 and filt["bad"] < 3:
+                    filt["bad"] += 1
+                    want = put(filt, True)
+                else:
+                    gain = filt["P"] @ look.T @ np.linalg.inv(cov)
+                    filt["x"], filt["P"], filt["bad"] = filt["x"] + gain @ miss, (np.eye(4) - gain @ look) @ filt["P"], 0
+                    filt["out"] = (filt["at"][0] + filt["x"][1] / 111320, filt["at"][1] + filt["x"][0] / filt["at"][2])
+                    want = put(filt)
+        told_at, want_at = ([float(v) for v in t.rstrip("!").split(",")] for t in (told, want))
+        assert told.endswith("!") == want.endswith("!") and np.allclose(told_at, want_at, atol=2e-6), n
+        seen.append(told)
+    assert 20 < sum(t.endswith("!") for t in seen) < 500

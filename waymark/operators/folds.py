@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 Step = Callable[[tuple | None, dict[str, Any]], tuple[tuple | None, Any]]
-LAT_METRES, LNG_METRES = 110540.0, 111320.0
 
 
 def _metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
@@ -131,44 +130,52 @@ def dwell(min_ms: int, min_samples: int) -> Step:
     return step
 
 
-def smooth(max_acc: float = 80.0, max_speed: float = 12.0, chi2: float = 9.0, streak: int = 3, teleport: float = 2500.0, acceleration: float = 1.0) -> Step:
-    """Constant-velocity Kalman filter by axis; outliers are rejected, at most `streak` in a row, and a far jump starts anew.
+def smooth(max_acc: float = 80.0, max_speed: float = 12.0, chi2: float = 9.0, streak: int = 3, teleport: float = 2500.0) -> Step:
+    """Constant-velocity Kalman filter on a plane at the first fix; both axes share one covariance (p, c, v).
 
-    The verdict is "lat,lng" of the estimate, with a trailing "!" where the fix was rejected.
+    A fix is rejected if its accuracy is over max_acc, it lies farther than max_speed allows from the last estimate,
+    or its squared Mahalanobis distance is over chi2; after `streak` rejections in a row the next one counts.  A
+    jump over `teleport` metres, or a manual fix, starts anew.  A rejection for speed has moved the filter on but not
+    its clock.  The verdict is "lat,lng" of the estimate, with a trailing "!" where the fix was rejected.
     """
+    degree, least_acc, usual_acc, speed_variance, drift, push, least_s = 111320.0, 4.0, 25.0, 4.0, 0.6, 0.8, 0.2  # fixed values
 
-    def said(state, rejected=False):
-        return f"{state[3][0]:.6f},{state[3][2]:.6f}{'!' if rejected else ''}"
+    def said(out, rejected=False):
+        return f"{out[0]:.6f},{out[1]:.6f}{'!' if rejected else ''}"
 
-    def start(row):
-        r = max(row["acc"] or 0.0, 1.0) ** 2
-        return (row["ms"], 0, None, [row["lat"], 0.0, row["lng"], 0.0], [r, 0.0, 25.0])
+    def start(row, acc):
+        anchor = (row["lat"], row["lng"], degree * max(math.cos(math.radians(row["lat"])), 0.01))
+        out = (row["lat"], row["lng"])
+        return (anchor, (0.0, 0.0, 0.0, 0.0), (acc * acc, 0.0, speed_variance), row["ms"], 0, out), said(out)
 
     def step(state, row):
         if not _located(row) or row["ms"] is None:
             return state, None
+        if row.get("manual"):
+            return None, said((row["lat"], row["lng"]))
+        acc = max(least_acc, row["acc"] if row["acc"] is not None and math.isfinite(row["acc"]) else usual_acc)
         if state is None:
-            state = start(row)
-            return state, said(state)
-        ms, rejected, _, x, p = state
-        far = _metres(x[0], x[2], row["lat"], row["lng"])
+            return start(row, acc)
+        anchor, (x, y, vx, vy), (p, c, v), ms, rejected, out = state
+        if acc > max_acc and rejected < streak:
+            return (anchor, (x, y, vx, vy), (p, c, v), ms, rejected + 1, out), said(out, True)
+        far = _metres(*out, row["lat"], row["lng"])
         if far > teleport:
-            state = start(row)
-            return state, said(state)
-        dt = max(row["ms"] - ms, 200) / 1000
-        r = max(row["acc"] or 0.0, 1.0) ** 2
-        p00, p01, p11 = p[0] + 2 * dt * p[1] + dt * dt * p[2] + acceleration * dt**4 / 4, p[1] + dt * p[2] + acceleration * dt**3 / 2, p[2] + acceleration * dt * dt
-        scale = (LAT_METRES, LNG_METRES * math.cos(math.radians(x[0])))
-        ahead = [x[0] + x[1] * dt / scale[0], x[2] + x[3] * dt / scale[1]]
-        miss = [(row["lat"] - ahead[0]) * scale[0], (row["lng"] - ahead[1]) * scale[1]]
-        odd = (row["acc"] or 0.0) > max_acc or far / dt > max_speed or (miss[0] ** 2 + miss[1] ** 2) / (p00 + r) > chi2
-        if odd and rejected < streak:
-            state = (ms, rejected + 1, None, x, p)
-            return state, said(state, True)
-        k0, k1 = p00 / (p00 + r), p01 / (p00 + r)
-        x = [ahead[0] + k0 * miss[0] / scale[0], x[1] + k1 * miss[0], ahead[1] + k0 * miss[1] / scale[1], x[3] + k1 * miss[1]]
-        state = (row["ms"], 0, None, x, [(1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01])
-        return state, said(state)
+            return start(row, acc)
+        dt = max((row["ms"] - ms) / 1000, least_s)
+        x, y = x + vx * dt, y + vy * dt
+        p, c, v = p + 2 * dt * c + dt * dt * v + (drift * dt) ** 2, c + dt * v, v + push * dt
+        if far / dt > max_speed and rejected < streak:
+            return (anchor, (x, y, vx, vy), (p, c, v), ms, rejected + 1, out), said(out, True)
+        s = p + acc * acc
+        dx, dy = (row["lng"] - anchor[1]) * anchor[2] - x, (row["lat"] - anchor[0]) * degree - y
+        if (dx * dx + dy * dy) / s > chi2 and rejected < streak:
+            return (anchor, (x, y, vx, vy), (p, c, v), row["ms"], rejected + 1, out), said(out, True)
+        k, kv = p / s, c / s
+        x, y, vx, vy = x + k * dx, y + k * dy, vx + kv * dx, vy + kv * dy
+        p, c, v = (1 - k) * p, (1 - k) * c, v - kv * c
+        out = (anchor[0] + y / degree, anchor[1] + x / anchor[2])
+        return (anchor, (x, y, vx, vy), (p, c, v), row["ms"], 0, out), said(out)
 
     return step
 
