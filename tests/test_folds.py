@@ -195,3 +195,18 @@ def test_smoother_equals_full_matrices():
         assert told.endswith("!") == want.endswith("!") and np.allclose(told_at, want_at, atol=2e-6), n
         seen.append(told)
     assert 20 < sum(t.endswith("!") for t in seen) < 500
+
+
+def test_reports_are_set_confirmed_and_taken_back(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), n, n * 60_000 + rng.randint(0, 90_000), rng.choice(["open", "down", "down", None, "x"])) for n in range(300)]
+    got = folds.fold(spark.createDataFrame(rows, "ride long, seq long, ms long, status string"), ["ride"], ["seq"], folds.reports(), "does", "string").collect()
+    stands, want = {}, []
+    for ride, seq, ms, status in rows:
+        if status is None and ride in stands:
+            del stands[ride]
+            want.append((seq, "clear"))
+        elif status in ("open", "down") and not (ride in stands and stands[ride][0] == status and ms - stands[ride][1] < 300_000):
+            stands[ride] = status, ms
+            want.append((seq, "set"))
+    assert sorted((r.seq, r.does) for r in got) == want

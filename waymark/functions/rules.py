@@ -37,6 +37,28 @@ def is_stale(value: Column, at_ms: Column, now_ms: int, days: int) -> Column:
     return F.when(value.isNull(), False).otherwise(F.coalesce(now_ms - at_ms >= days * 86_400_000, F.lit(True)))
 
 
+# Milliseconds between fixes by motion with a full and an empty battery, walking speed, battery levels.
+CADENCE = {"walking": (3000, 5000), "standing": (15000, 30000), "background": (60000, 120000)}
+WALKING_SPEED, HEALTHY, LOW, LEAST_GAP_MS = 0.35, 0.5, 0.2, 750
+
+
+def motion(speed: Column, background: Column, metres: Column, gap_ms: Column) -> Column:
+    """background, walking or standing: by the speed told, else by the metres since the fix before, if it is old enough to tell."""
+    told = F.when((speed >= 0) & (speed < float("inf")), speed)
+    derived = F.when(gap_ms >= LEAST_GAP_MS, metres / (gap_ms / 1000))
+    return F.when(F.coalesce(background, F.lit(False)), "background").when(F.coalesce(told, derived) >= WALKING_SPEED, "walking").otherwise("standing")
+
+
+def cadence_ms(kind: Column, battery: Column, charging: Column) -> Column:
+    """Milliseconds to the next fix: longer the emptier the battery, between its healthy and its low level."""
+    level = F.when(~F.isnan(battery) & ~F.coalesce(charging, F.lit(False)), battery)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (HEALTHY - level) / (HEALTHY - LOW)))
+    out = F.lit(None).cast("long")
+    for name, (short, long) in CADENCE.items():
+        out = F.when(kind == name, F.when(level.isNull(), short).otherwise(half_up(short + t * (long - short)).cast("long"))).otherwise(out)
+    return out
+
+
 def mark_opacity(age_ms: Column) -> Column:
     return F.when(age_ms >= 7 * 86_400_000, 0.4).otherwise(1.0)
 

@@ -14,7 +14,6 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -60,6 +59,22 @@ def verdict(box: dict[str, float], metres: float, accuracy: float) -> Step:
     return step
 
 
+def reports(confirm_ms: int = 5 * 60_000, statuses: tuple[str, ...] = ("open", "down")) -> Step:
+    """What a report does to its ride: set, clear (a null status takes back one that stands), or nothing.
+
+    An unknown status does nothing, nor does one that stands already and was set less than confirm_ms ago.
+    """
+
+    def step(state, row):
+        if row["status"] is None:
+            return None, "clear" if state else None
+        if row["status"] not in statuses or state and state[0] == row["status"] and row["ms"] - state[1] < confirm_ms:
+            return state, None
+        return (row["status"], row["ms"]), "set"
+
+    return step
+
+
 def session_number(gap_ms: int) -> Step:
     """1 for the first session; a new one where time runs backwards or stands still for gap_ms."""
 
@@ -180,17 +195,16 @@ def smooth(max_acc: float = 80.0, max_speed: float = 12.0, chi2: float = 9.0, st
     return step
 
 
-def plain(value: Any) -> Any:
-    """A pandas cell as a Python value; missing is None."""
-    if value is None or value is pd.NaT or isinstance(value, float) and math.isnan(value):
-        return None
-    return value.item() if isinstance(value, np.generic) else value
+def plain_rows(rows: pd.DataFrame) -> Iterator[dict[str, Any]]:
+    """The rows as dicts of Python values; a table's columns are turned once, not cell by cell."""
+    columns = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in rows.columns]
+    return (dict(zip(rows.columns, values, strict=True)) for values in zip(*columns, strict=True))
 
 
 def applied(step: Step, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[Any]]:
     verdicts = []
-    for row in rows.to_dict("records"):
-        state, verdict = step(state, {k: plain(v) for k, v in row.items()})
+    for row in plain_rows(rows):
+        state, verdict = step(state, row)
         verdicts.append(verdict)
     return state, verdicts
 
@@ -206,13 +220,14 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, name: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
         for batch in batches:
-            for key, rows in batch.groupby(keys, sort=False, dropna=False):
-                key = tuple(map(plain, key))
-                if key != now:
+            verdicts = []
+            for row in plain_rows(batch):  # the rows of a key come one after the other
+                if (key := tuple(row[k] for k in keys)) != now:
                     now, state = key, None
-                state, verdicts = applied(step, state, rows)
-                if (told := with_verdict(rows, verdicts, name)).size:
-                    yield told
+                state, verdict_of_row = step(state, row)
+                verdicts.append(verdict_of_row)
+            if len(told := with_verdict(batch, verdicts, name)):
+                yield told
 
     schema = ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, (name, kind)])
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

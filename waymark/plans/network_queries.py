@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import rules as R
 from ..operators import folds, graph, raster
+from ..operators import ops as O
 from ..operators.ops import W
 from ..runtime import shared_folder
 from ..sources import tables
 from . import views as V
-from .registry import query, table, view, with_views
+from .registry import ORACLES, query, table, view, with_views
 
 
 def _edges(spark, sf):
@@ -87,10 +89,10 @@ def session_numbers(spark, sf):
     return folds.fold(_typed(spark, sf), ["device"], ["seq"], folds.session_number(900_000), "session", "long").select("device", "seq", "session")
 
 
-@query(with_views(f=V.FIX) + "SELECT device, seq, ms FROM f WHERE 1706400000000 - ms BETWEEN 0 AND 864000000 QUALIFY row_number() OVER (PARTITION BY device ORDER BY ms DESC) <= 24")
+@query(with_views(f=V.FIX) + "SELECT device, seq, ms FROM f WHERE 1706400000000 - ms BETWEEN 0 AND 864000000 QUALIFY row_number() OVER (PARTITION BY device ORDER BY ms DESC, seq DESC) <= 24")
 def retained_log(spark, sf):
     log = view(spark, sf, V.FIX).where("ms <= 1706400000000")
-    return tables.retained(log, "device", "ms", 1706400000000, 24, 10 * 86_400_000).select("device", "seq", "ms")
+    return tables.retained(log, "device", "ms", 1706400000000, 24, 10 * 86_400_000, "seq").select("device", "seq", "ms")
 
 
 @query(with_views(f=V.FIX) + "SELECT device, seq FROM f WHERE seq > device * 3")
@@ -127,3 +129,39 @@ def line_runs(spark, sf):
     kind = rise.select("device", "seq", F.when(F.col("rise") > 40, "climb").when(F.col("rise") < -40, "drop").otherwise("flat").alias("kind"))
     runs = kind.withColumn("fresh", ~F.col("kind").eqNullSafe(F.lag("kind").over(w)))
     return runs.groupBy("device", "kind").agg(F.count_if("fresh").alias("n_runs"), F.count("*").alias("n_edges"))
+
+
+_MOVED = (
+    ", n AS (SELECT device, seq, CASE WHEN seq % 4 = 0 THEN value / 400 END AS speed, seq % 9 = 0 AS background, ms - lag(ms) OVER w AS gap, "
+    "2 * 6371000 * asin(sqrt(pow(sin(radians(lat - lag(lat) OVER w) / 2), 2) + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) * pow(sin(radians(lng - lag(lng) OVER w) / 2), 2))) AS metres, "
+    "CASE WHEN seq % 3 > 0 THEN value / 500 END AS battery, seq % 5 = 0 AS charging FROM f WINDOW w AS (PARTITION BY device ORDER BY seq)), "
+    "k AS (SELECT *, CASE WHEN background THEN 'background' WHEN coalesce(speed, CASE WHEN gap >= 750 THEN metres / (gap / 1000.0) END) >= 0.35 THEN 'walking' ELSE 'standing' END AS motion FROM n), "
+    "c AS (SELECT *, CASE WHEN battery IS NULL OR charging THEN 0 ELSE greatest(0, least(1, (0.5 - battery) / 0.3)) END AS t FROM k) "
+)
+
+
+@query(with_views(f=V.FIX) + _MOVED + "SELECT device, seq, motion, CAST(floor(CASE motion WHEN 'walking' THEN 3000 + t * 2000 WHEN 'standing' THEN 15000 + t * 15000 ELSE 60000 + t * 60000 END + 0.5) AS BIGINT) AS next_ms FROM c")
+def motion_cadence(spark, sf):
+    w = W.partitionBy("device").orderBy("seq")
+    metres = X.haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
+    f = _typed(spark, sf).join(view(spark, sf, V.FIX).select("seq", "value"), "seq").select("*", metres.alias("metres"), (F.col("ms") - F.lag("ms").over(w)).alias("gap"))
+    speed, battery = F.when(F.col("seq") % 4 == 0, F.col("value") / 400), F.when(F.col("seq") % 3 > 0, F.col("value") / 500)
+    moved = f.withColumn("motion", R.motion(speed, F.col("seq") % 9 == 0, F.col("metres"), F.col("gap")))
+    return moved.select("device", "seq", "motion", R.cadence_ms(F.col("motion"), battery, F.col("seq") % 5 == 0).alias("next_ms"))
+
+
+@query(ORACLES["monotone_fold"])
+def monotone_window(spark, sf):
+    return O.monotone(view(spark, sf, V.FIX), "device", "seq", "ms").select("device", "seq")
+
+
+@query(ORACLES["session_numbers"])
+def session_windows(spark, sf):
+    return O.sessions(view(spark, sf, V.FIX), "device", "ms", "seq", 900_000).select("device", "seq", F.col("session").cast("long").alias("session"))
+
+
+@query()
+def ride_report_log(spark, sf):
+    """Reports by ride in order: which set its status, and which took it back."""
+    r = view(spark, sf, V.REPORT).selectExpr("ride", "seq", "ms", "case when seq % 7 > 0 then status end status")
+    return folds.fold(r, ["ride"], ["ms", "seq"], folds.reports(), "does", "string").select("ride", "seq", "status", "does")

@@ -101,9 +101,10 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.withColumn("key", cache_key(F.col("prompt"), F.col("model"))).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
 
-def retained(log: DataFrame, key: str, at_ms: str, now_ms: int, most: int = 500, max_age_ms: int = 90 * 86_400_000) -> DataFrame:
-    """The newest rows of each key that are young enough."""
-    return newest(log.where(now_ms - F.col(at_ms) <= max_age_ms), [key], [F.desc(at_ms)], most)
+def retained(log: DataFrame, key: str, at_ms: str, now_ms: int, most: int = 500, max_age_ms: int = 90 * 86_400_000, tie: str | None = None) -> DataFrame:
+    """The newest rows of each key that are young enough; of equal times those last in `tie`, if it is given, else any."""
+    order = [F.desc(at_ms)] if tie is None else [F.desc(at_ms), F.desc(tie)]
+    return newest(log.where(now_ms - F.col(at_ms) <= max_age_ms), [key], order, most)
 
 
 def after_cursor(log: DataFrame, cursors: DataFrame, key: str, number: str) -> DataFrame:
