@@ -189,20 +189,20 @@ def common_shingles(docs: DataFrame, size: int, seed: int) -> np.ndarray:
     return found.view(np.uint64)[::-1].copy()
 
 
-def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n // 5 + 1 shingles: those that aren't common by their hash, then the common ones by rank."""
+def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first n // 5 + 1 shingles: those that aren't common by their hash, then the common ones by rank; and how many are common."""
     n = len(hashes) // 5 + 1
     at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
     known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
     rare = hashes[~known]
     if len(rare) >= n:
-        return rare[:n]
-    return np.concatenate((rare, hashes[known][np.argsort(rank[at[known]])]))[:n]
+        return rare[:n], 0
+    return np.concatenate((rare, hashes[known][np.argsort(rank[at[known]])]))[:n], min(n, len(hashes)) - len(rare)
 
 
 def described(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
-    """For every row doc_id, text_key, the 128-bit name of its shingle set (v, w), its size n, fingerprint fp, parity sketch and prefix."""
-    names = ["doc_id", "text_key", "v", "w", "n", "fp", "sketch", "prefix"]
+    """For every row doc_id, text_key, the 128-bit name of its shingle set (v, w), its size n, fingerprint fp, parity sketch and prefix, and how many of the prefix are common."""
+    names = ["doc_id", "text_key", "v", "w", "n", "commons", "fp", "sketch", "prefix"]
     ranked = common_shingles(docs, size, seed)
     order = np.argsort(ranked)
     common = docs.sparkSession.sparkContext.broadcast((ranked[order], order))  # MAX_COMMON of them at most
@@ -215,12 +215,14 @@ def described(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame
         for part, texts in chunks(batches):
             sets = _sets(texts, size, seed)
             named = np.frombuffer(b"".join([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), np.int64).reshape(-1, 2)
-            columns = [part.column("doc_id"), pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array([len(s) for s in sets], pa.int64())]
-            arrays = [majority(s, LANES) for s in sets], [_sketch(s) for s in sets], [_prefix(s, *common.value).view(np.int64) for s in sets]
+            prefixes = [_prefix(s, *common.value) for s in sets]
+            counts = pa.array([len(s) for s in sets], pa.int64()), pa.array([k for _, k in prefixes], pa.int64())
+            columns = [part.column("doc_id"), pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(named[:, 0]), pa.array(named[:, 1]), *counts]
+            arrays = [majority(s, LANES) for s in sets], [_sketch(s) for s in sets], [p.view(np.int64) for p, _ in prefixes]
             yield pa.RecordBatch.from_arrays([*columns, *map(lists, arrays)], names)
 
     base = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")
-    return base.mapInArrow(run, "doc_id long, text_key string, v long, w long, n long, fp array<long>, sketch array<long>, prefix array<long>")
+    return base.mapInArrow(run, "doc_id long, text_key string, v long, w long, n long, commons long, fp array<long>, sketch array<long>, prefix array<long>")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -297,19 +299,23 @@ def similar(docs: DataFrame, size: int = SHINGLE, seed: int = 42) -> DataFrame:
     hubs = _near(_hubs(table), classes).groupBy("a").agg(F.min_by("b", "bits").alias("b"))
     dense = _verified(materialize(hubs), docs, classes, size, seed)
     roots = components(dense)
-    prefixes = own.groupBy("v").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    prefixes = own.groupBy("v").agg(*[F.first(c).alias(c) for c in ("n", "commons", "prefix")])
     labelled = prefixes.join(small(materialize(roots)), F.col("v") == F.col("id"), "left").withColumn("root", F.coalesce("root", "v"))
-    index = labelled.select("v", "n", "root", F.posexplode("prefix").alias("i", "h")).repartition("h")
-    a, b = (index.select("h", *[F.col(c).alias(end + c) for c in ("v", "n", "i", "root")]) for end in "ab")
-    # 9 |A and B| >= 4 (|A| + |B|).  From a common shingle on no more can be common than either set has left: the first
-    # one of a similar pair leaves that much room, and those that leave less can't be the first, so they don't meet
-    need = 4 * (F.col("an") + F.col("bn"))
+    index = labelled.select("v", "n", "root", "commons", F.posexplode("prefix").alias("i", "h")).repartition("h")
+    a, b = (index.select("h", *[F.col(c).alias(end + c) for c in ("v", "n", "commons", "i", "root")]) for end in "ab")
+    # 9 |A and B| >= 4 (|A| + |B|).  From the first common shingle of a similar pair on no more can be common than
+    # either set has left.  Common shingles, the last of a prefix, only meet where there is that much room; all others
+    # always meet, and are counted: in the prefix that ends first, all that isn't shared is the set's own, of which it
+    # has few, and no more is shared uncounted than either prefix has of common shingles.
+    need, few = 4 * (F.col("an") + F.col("bn")), F.least("acommons", "bcommons")
     room = 9 * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= need
-    met = a.join(b.hint("merge"), "h").where((F.col("av") < F.col("bv")) & (F.col("aroot") != F.col("broot")) & room)
-    pairs = met.groupBy(F.col("av").alias("a"), F.col("bv").alias("b")).agg(F.count("*").alias("c"), F.first("an").alias("an"), F.first("bn").alias("bn"), F.max("ai").alias("ai"), F.max("bi").alias("bi"))
-    # all that are common up to the last one that met have met too, so c of them and what is left after it bound the whole
-    left = F.col("c") + F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) - 1
-    met = pairs.where(9 * left >= need).select("a", "b")
+    hot = F.col("ai") > F.floor(F.col("an") / 5) - F.col("acommons")  # of the prefix's n // 5 + 1
+    alike = 5 * F.least("an", "bn") >= 4 * F.greatest("an", "bn")
+    met = a.join(b.hint("merge"), "h").where((F.col("av") < F.col("bv")) & (F.col("aroot") != F.col("broot")) & alike & (room | ~hot))
+    least = [F.min(x).alias(x) for x in ("an", "bn", "acommons", "bcommons", "ai", "bi")]
+    met = met.groupBy(F.col("av").alias("a"), F.col("bv").alias("b")).agg(F.count("*").alias("c"), *least)
+    spare = lambda n: 9 * (F.floor(F.col(n) / 5) + 1 - F.col("c") - few) <= 5 * F.col(n) - 4 * F.col("bn" if n == "an" else "an")
+    met = met.where(room & (spare("an") | spare("bn"))).select("a", "b")
     rest = _verified(materialize(_near(met, classes).select("a", "b")), docs, classes, size, seed)
     roots = components(dense.union(rest))
     joined = rows.select("doc_id", "text_key", "v", "w").join(roots, rows["v"] == roots["id"], "left")
