@@ -1,4 +1,10 @@
-"""Operators from DataFrame to DataFrame: filters, folds, windows, spatial joins, evidence, rules, checks."""
+"""Operators from DataFrame to DataFrame: filters, folds, windows, spatial joins, evidence, rules, checks.
+
+Defined results: null keys form one key; nulls come first in an ascending order; repeated rows count each, and of
+rows that an order holds equal any is first, unless the order ends in a key; rows without a position are near
+nothing; an empty table gives an empty result.  Functions that filter rows or add columns keep all other columns,
+those that group keep none.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Rings and areas: containment joins, areas and centroids, nearest areas, segments."""
+"""Rings and areas: containment joins, areas, nearest places, segments.
+
+Defined results: rows without a position, and areas without a ring, meet nothing; repeated rows give their rows
+again; ties go to the least place or area; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
