@@ -67,3 +67,13 @@ def test_meeting_point_of_folded_legs_equals_that_of_all_members(spark):
     folded = [("p", at, c, abs(at * 4 - c), 3) for at in range(3) for c in range(8)]
     once = graph.meeting_point(spark.createDataFrame(folded, "party string, member int, candidate int, metres int, n int"), F.col("n"))
     assert [tuple(r) for r in every.collect()] == [tuple(r) for r in once.collect()]
+
+
+def test_resampled_grid_of_odd_cells(spark):
+    from waymark.operators import raster
+
+    rows = [(1, r, c, float(r * 10 + c)) for r in range(4) for c in range(4)] + [(2, 0, 0, 5.0), (2, 0, 0, 7.0), (3, 0, 0, None), (3, 1, 0, float("nan"))]
+    grid = spark.createDataFrame(rows, "venue long, row long, col long, z double")
+    got = {(r.venue, r.row, r.col): r.z for r in raster.resampled(grid, 2, 2).collect()}
+    assert got[1, 0, 0] == 5.5 and got[1, 1, 1] == 27.5 and got[2, 1, 1] == 6.0 and got[3, 0, 1] == 0.0 and len(got) == 12
+    assert raster.resampled(grid.limit(0), 2, 2).count() == 0

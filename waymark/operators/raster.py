@@ -41,3 +41,20 @@ def dominant_class(cells: DataFrame, key: str) -> DataFrame:
     from .ops import dominant
 
     return dominant(cells, [key], "class")
+
+
+def resampled(grid: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Every venue's grid (rows and columns from 0) sampled at the centres of rows x cols cells, north first; where there is no finite height, 0.
+
+    Venues and their extents come from the grid itself; repeated cells count as their mean.
+    """
+    finite = grid.where(F.col("z").isNotNull() & ~F.isnan("z") & (F.abs("z") < float("inf"))).groupBy("venue", "row", "col").agg(F.avg("z").alias("z"))
+    extent = grid.groupBy("venue").agg((F.max("row") + 1).alias("high"), (F.max("col") + 1).alias("wide"))
+    cells = extent.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    inside = lambda v, n: F.greatest(F.lit(0.0), F.least(n - 1.0, v))  # noqa: E731  beyond the outermost centres the nearest counts
+    x = inside((F.col("col") + 0.5) / cols * F.col("wide") - 0.5, F.col("wide"))
+    y = inside((F.col("row") + 0.5) / rows * F.col("high") - 0.5, F.col("high"))
+    placed = cells.select("venue", F.col("row").alias("to_row"), F.col("col").alias("to_col"), x.alias("x"), y.alias("y"))
+    sampled = bilinear(placed, finite).select("venue", "to_row", "to_col", "z")
+    out = placed.select("venue", "to_row", "to_col").join(sampled, ["venue", "to_row", "to_col"], "left")
+    return out.select("venue", F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.coalesce("z", F.lit(0.0)).alias("z"))

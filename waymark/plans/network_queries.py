@@ -165,3 +165,15 @@ def ride_report_log(spark, sf):
     """Reports by ride in order: which set its status, and which took it back."""
     r = view(spark, sf, V.REPORT).selectExpr("ride", "seq", "ms", "case when seq % 7 > 0 then status end status")
     return folds.fold(r, ["ride"], ["ms", "seq"], folds.reports(), "does", "string").select("ride", "seq", "status", "does")
+
+
+@query(
+    with_views(g=V.GRID)
+    + """, e AS (SELECT venue, max(row) + 1 AS high, max(col) + 1 AS wide FROM g GROUP BY venue),
+c AS (SELECT venue, r.i AS row, k.i AS col, greatest(0, least(high - 1.0, (r.i + 0.5::DOUBLE) / 12 * high - 0.5)) AS y, greatest(0, least(wide - 1.0, (k.i + 0.5::DOUBLE) / 7 * wide - 0.5)) AS x FROM e, range(12) r(i), range(7) k(i)),
+u AS (SELECT venue, row, col, avg(z) AS z FROM g GROUP BY ALL),
+m AS (SELECT c.venue, c.row, c.col, z, (1 - abs(y - u.row)) * (1 - abs(x - u.col)) AS w FROM c LEFT JOIN u ON u.venue = c.venue AND u.row IN (floor(y), floor(y) + 1) AND u.col IN (floor(x), floor(x) + 1))
+SELECT venue, row, col, floor(coalesce(sum(z * w) / nullif(sum(w), 0), 0) * 1e4 + 0.5) / 1e4 AS z FROM m GROUP BY ALL"""
+)
+def terrain_grid(spark, sf):
+    return raster.resampled(view(spark, sf, V.GRID), 12, 7).select("venue", "row", "col", X.half_up(F.col("z"), 4).alias("z"))
