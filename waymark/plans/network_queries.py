@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import rules as R
-from ..operators import folds, graph, raster
+from ..operators import folds, graph, party, raster
 from ..operators import ops as O
 from ..operators.ops import W
 from ..runtime import shared_folder
@@ -177,3 +177,11 @@ SELECT venue, row, col, floor(coalesce(sum(z * w) / nullif(sum(w), 0), 0) * 1e4
 )
 def terrain_grid(spark, sf):
     return raster.resampled(view(spark, sf, V.GRID), 12, 7).select("venue", "row", "col", X.half_up(F.col("z"), 4).alias("z"))
+
+
+@query()
+def party_hosts(spark, sf):
+    """Customers of a nation are a party, led by the first of them."""
+    people = table(spark, sf, "customer").selectExpr("c_nationkey as party", "concat('m', c_custkey) id", "(c_custkey * 37 % 101) / 100.0D as battery", "cast(c_custkey % 50 as int) join_order", "c_custkey % 13 = 0 as device_less")
+    leaders = people.groupBy("party").agg(F.min("id").alias("leader"))
+    return party.better_hosts(people.join(leaders, "party"))
