@@ -1,8 +1,10 @@
 """The pipeline against plain Python, its near-duplicate stage on every pair, and odd tables for every stage."""
 
 import random
+from collections import Counter
 
 import pytest
+import xxhash
 
 import brute
 import corpus_pipeline
@@ -109,6 +111,22 @@ def test_one_row_stays_of_each_group_whatever_the_ids(spark):
     assert {r.text: r.doc_id for r in got}[texts[3]] == 5
 
 
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [f"{t} only{i} {k}" for i, t in enumerate(prose(rng, 12) for _ in range(30)) for k in range(3 + i % 3)]
+    texts += ["copied " * 5] * 9 + [None, "", None]
+    texts += [f"filler{i}" for i in range(12_000 - len(texts))]
+    rng.shuffle(texts)
+    held = Counter(xxhash.xxh64_intdigest(" ".join(s), 42) for t in set(texts) for s in brute.shingles(t))  # copies count once
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for most in (300_000, 200, 5):
+        monkeypatch.setattr(simhash, "MAX_COMMON", most)
+        least = min(c for c in range(3, 9) if sum(n >= c for n in held.values()) <= most)
+        got = simhash.common_shingles(df, 5, 42).tolist()
+        assert sorted(got) == sorted(h for h, n in held.items() if n >= least)
+        assert [held[h] for h in got] == sorted(held[h] for h in got)
+
+
 CLASHES = ("id", "key", "stays", "rest", "marks", "spans", "did", "t", "u", "n_words", "item_ids", "text_bytes", "text_key", "v", "w", "root", "component", "fp", "cluster", "kept", "row")
 
 

@@ -14,7 +14,8 @@ join the dense groups first (eight lanes with two segments of 20 bits each, ever
 fingerprint of its segments, verified on the complete sets), and an exact prefix filter finds what is left: read in one order,
 two sets of similarity 4/5 share a shingle among their first n // 5 + 1.  Pairs within a group that is joined
 already are not looked at, and every pair is verified on its complete sets.  The order doesn't matter for
-exactness; shingles that a sample finds often come last, so hot ones are met only by texts made of little else.
+exactness; the shingles that most texts hold, by counts over all texts, come last, so hot ones are met only by texts
+made of little else.
 
 Defined results: null and empty texts have fingerprint zero and the empty set and link like any other (for
 `similar` they are copies of each other); texts of fewer words than a shingle are one shingle; repeated rows
@@ -32,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +45,10 @@ from .wordbuf import BY_SPACE_LOWER, Words, chunks, mix, texts_of
 _SET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: What `similar` takes: words of a shingle, lanes of 64 bits, segments a lane, bits of a segment.
 SHINGLE, LANES, PER_LANE, WIDTH = 5, 8, 2, 20
-#: Shingles named as common at most (they only order the others), and how often the sample must hold them.
+#: Shingles named as common at most (they only order the others), and how many texts must hold them.
 MAX_COMMON, OFTEN = 300_000, 3
+#: Shingles are counted in 2 ** COUNT_BITS ranges of their hash; a task sorts this many at once before it sends them.
+COUNT_BITS, COUNTED_AT_ONCE = 10, 1 << 21
 #: Shingle sets that a task remembers while it compares texts, and the bytes of a text from which on it doesn't.
 REMEMBERED_SETS, REMEMBERED_BYTES = 1000, 1 << 16
 
@@ -176,17 +180,50 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, size: int, seed: int) -> np.ndarray:
-    """Shingles that a sample of the distinct texts (one in a hundred, more of a small corpus) holds often, rarest first."""
+    """The shingles that most texts hold, rarest first: counted over all distinct texts, in OFTEN of them at least, MAX_COMMON at most.
+
+    Every text is counted, copies once.  Tasks sort and count what they hold in numpy and send it by ranges of the
+    hash, as arrays, so that a shingle takes about its eight bytes of shuffle.  Where more than MAX_COMMON are held
+    OFTEN, the least count that lets no more through decides; shingles of one count stay or go together.
+    """
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        parts, starts = np.unique(h >> np.uint64(64 - COUNT_BITS), return_index=True)
+        offsets = pa.array(np.append(starts, len(h)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), c.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *lists], ["part", "h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for _, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_sets(texts, size, seed)).view(np.int64))], ["h"])
-
-    step = min(max(docs.count() // 5000, 1), 100)
-    sample = docs.select(F.col("text").cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).dropDuplicates()
-    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
-    found = counts.orderBy(F.desc("count"), "h").limit(MAX_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
-    return found.view(np.uint64)[::-1].copy()
+            held += (sets := _sets(texts, size, seed))
+            n += sum(map(len, sets))
+            if n >= COUNTED_AT_ONCE:
+                yield counted(held)
+                held, n = [], 0
+        if n:
+            yield counted(held)
+
+    def summed(pieces: pa.Table) -> pa.Table:
+        h, at = np.unique(pc.list_flatten(pieces["h"]).to_numpy(), return_inverse=True)
+        c = np.bincount(at, pc.list_flatten(pieces["c"]).to_numpy()).astype(np.int64)
+        return pa.table({"h": h[c >= OFTEN], "c": c[c >= OFTEN]})
+
+    copied = docs.groupBy(text_key(F.col("text")).alias("copied")).count().where("count > 1").select("copied")
+    keyed = docs.select(F.col("text").cast("binary").alias("text"), text_key(F.col("text")).alias("key"))
+    marked = keyed.join(small(materialize(copied)), F.col("key") == F.col("copied"), "left")
+    texts = marked.where("copied is null").union(marked.where("copied is not null").dropDuplicates(["copied"])).select("text")
+    pieces = texts.mapInArrow(run, "part int, h array<long>, c array<int>")
+    counts = materialize(pieces.groupBy("part").applyInArrow(summed, "h long, c long"))
+    least, named = OFTEN, 0
+    for c, n in sorted(map(tuple, counts.groupBy("c").count().collect()), reverse=True):  # as many rows as counts differ
+        if (named := named + n) > MAX_COMMON:
+            least = c + 1
+            break
+    found = counts.where(F.col("c") >= least).toPandas()
+    forget(counts)
+    return found["h"].to_numpy(np.int64)[np.lexsort((found["h"], found["c"]))].view(np.uint64).copy()
 
 
 def _prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
