@@ -161,5 +161,5 @@ def test_crowded_places_and_positions_do_not_multiply_pairs(spark):
         every = sorted(((m, r[0]) for q in points if q[0] == key and q[1] is not None and math.isfinite(q[1]) for r in located if (m := metres(q, r)) <= 50), key=order)[:4]
         want += [(key, place, m, i + 1) for i, (m, place) in enumerate(every)]
     assert shown((r.key, r.place, r.metres, r["rank"]) for r in near.collect()) == shown(want) and len(want) == 240
-    assert _made_by_joins(near) < 2500  # 700 places and 500 points within reach would be some 200,000 pairs
+    assert _made_by_joins(three) < 2000 and _made_by_joins(near) < 2500  # 700 places and 500 points within reach would be some 200,000 pairs
     assert U.nearby(p.limit(0), f, "key", 50.0, 4).count() == 0 and spatial.nearest_k(f.limit(0), p, "key", 60.0, 3).count() == 0

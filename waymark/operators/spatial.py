@@ -176,10 +176,7 @@ def first_near(points: DataFrame, places: DataFrame, metres: float, k: int, incl
 
 def nearest_k(points: DataFrame, places: DataFrame, key: str, metres: float, k: int) -> DataFrame:
     """The k nearest places (place, r_lat, r_lng) of each point within `metres`, numbered from 1; points at one position share them."""
-    rank = F.row_number().over(W.partitionBy("lat", "lng").orderBy("metres", "place"))
-    near = within(points.select("lat", "lng").distinct(), places, metres).withColumn("metres", F.round("metres", 4))
-    ranked = near.withColumn("rank", rank).where(F.col("rank") <= k)
-    return points.join(ranked, ["lat", "lng"]).select(key, "place", "metres", "rank")
+    return points.join(first_near(points, places, metres, k), ["lat", "lng"]).select(key, "place", "metres", "rank")
 
 
 def overlapping(boxes: DataFrame, others: DataFrame, size: float) -> DataFrame:
